@@ -8,25 +8,37 @@ from pyspark.sql import functions as F
 from tessella.plans.shared import materialize
 
 
-def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, component) of every end of links (a, b): the smallest id that it reaches.
 
-    Each round gives every vertex the smallest label among its own and its neighbours' (a map-side minimum, so a
-    vertex with many links is one row a task), then follows labels once (pointer jumping), which halves distances.
-    Rounds are written tables; it ends when a round changes nothing. Nothing but a count comes to the driver.
-    Null ends and loops are ignored; repeated links count once.
+    Contraction: every vertex points to the smallest among itself and its neighbours (a map-side minimum, so a vertex with
+    many links is one row a task), pointers are followed once more, and links are drawn anew between what is pointed to. At
+    least half of the vertices of a component go in a round, so that few rounds follow, each on a smaller graph.
+    Labels are then read backwards through the rounds. Rounds are written tables; nothing but whether links are left
+    comes to the driver. Null ends and loops are ignored; repeated links count once.
     """
-    links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = materialize(links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select("b", "a")), "links")
-    labels = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("component")), "labels")
+
+    def tidy(df: DataFrame) -> DataFrame:
+        return materialize(df.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    links = tidy(links)
+    steps: list[DataFrame] = []
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("v").alias("u"), "component"), "u").groupBy("v").agg(F.min("component").alias("near"))
-        low = labels.join(near, "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("component").alias("next"))
-        moved = materialize(low.join(jump, "low").select("v", "old", F.least("low", "next").alias("component")), "labels")
-        labels = moved.select("v", "component")
-        if moved.where("component <> old").isEmpty():
+        if links.isEmpty():
             break
+        both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select("b", "a"))
+        near = materialize(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("p")), "pointers")
+        next_ = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        step = materialize(near.join(next_, "p").select("v", F.col("q").alias("p")), "pointers")
+        steps.append(step)
+        links = links.join(step.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        links = tidy(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
+    if not steps:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("component"))
+    labels = steps[-1].select("v", F.col("p").alias("component"))
+    for step in reversed(steps[:-1]):
+        later = labels.select(F.col("v").alias("p"), "component")
+        labels = materialize(step.join(later, "p", "left").select("v", F.coalesce("component", "p").alias("component")), "labels")
     return labels
