@@ -14,6 +14,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,16 +141,25 @@ def ends(first: Row, last: Row, pid: int, id_type: pa.DataType) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in two], id_type), pa.array([pid, pid], pa.int32()), pa.array(["first", "last"], pa.string()), pa.array([r.copies for r in two], pa.int64()), pa.array([r.text for r in two], pa.string()), *none], NAMES)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+    for batch in small_batches(batches, "text"):
+        packed = pa.array([press.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), packed], ["doc_id", "h", "packed"])
+
+
 def _stream(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Sorted rows of a range to results; the range's first and last rows come out as they are."""
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
+    unpack = zstandard.ZstdDecompressor()
     first = held = None
-    for batch in small_batches(batches, "text", 4 << 20):
-        texts = batch.column("text").to_pylist()
+    for batch in small_batches(batches, "packed", 2 << 20):
+        texts = [unpack.decompress(x).decode() for x in batch.column("packed").to_pylist()]
         done, after = [], []
-        for doc_id, text, sig in zip(batch.column("doc_id").to_pylist(), texts, signatures(batch.column("text")), strict=True):
+        for doc_id, text, sig in zip(batch.column("doc_id").to_pylist(), texts, signatures(pa.array(texts, pa.large_string())), strict=True):
             if held is not None and held.doc_id == doc_id and held.text == text:
                 held.copies += 1
                 continue
@@ -180,15 +190,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     one document, whose result each gets), after the last the first. The edited text is the text with its last quarter
     (rounded down) replaced by the next document's beginning. Null text is empty. Other columns are ignored.
 
-    One range shuffle brings neighbours together; a task reads its range as a stream. The seams between ranges (two rows
+    One range shuffle of compressed texts brings neighbours together; a task reads its range as a stream. The seams between ranges (two rows
     a task) are joined afterwards.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = pa.string() if id_type == "string" else pa.int64()
     rows = docs.select(F.col("doc_id") if id_type == "string" else F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     kind = "string" if id_type == "string" else "long"
+    rows = rows.withColumn("h", F.xxhash64("text")).mapInArrow(_pack, f"doc_id {kind}, h long, packed binary")
     found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_stream, id_type=arrow), f"doc_id {kind}, pid int, role string, copies long, text string, {OUT}")
     found = materialize(found, "fingerprints")
     pids = sorted(r["pid"] for r in found.where("role = 'last'").select("pid").collect())  # one number a task
