@@ -12,10 +12,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(v, component) of every end of links (a, b): the smallest id that it reaches.
 
     Contraction: every vertex points to the smallest among itself and its neighbours (a map-side minimum, so a vertex with
-    many links is one row a task), pointers are followed once more, and links are drawn anew between what is pointed to. At
-    least half of the vertices of a component go in a round, so that few rounds follow, each on a smaller graph.
-    Labels are then read backwards through the rounds. Rounds are written tables; nothing but whether links are left
-    comes to the driver. Null ends and loops are ignored; repeated links count once.
+    many links is one row a task), pointers are followed until they end (each time twice as far, so long chains take few
+    steps), and links are drawn anew between the ends. Only vertices that are smaller than all their neighbours are left
+    for the next round. Labels are then read backwards through the rounds. Rounds are written tables; nothing but whether
+    something is left comes to the driver. Null ends and loops are ignored; repeated links count once.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
@@ -27,9 +27,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if links.isEmpty():
             break
         both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select("b", "a"))
-        near = materialize(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("p")), "pointers")
-        next_ = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        step = materialize(near.join(next_, "p").select("v", F.col("q").alias("p")), "pointers")
+        step = materialize(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("p"), F.lit(True).alias("moved")), "pointers")
+        for _ in range(rounds):
+            further = step.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            step = materialize(step.join(further, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            if step.where("moved").isEmpty():
+                break
+        step = step.select("v", "p")
         steps.append(step)
         links = links.join(step.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         links = tidy(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))

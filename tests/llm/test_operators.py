@@ -1,0 +1,350 @@
+"""Operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, graph, media, mixing, ngram_join, pii, quality, queries, secrets, spotsigs, textarrays, url_filters, warc
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def components(texts, k, pct):
+    """Brute force: sets of word runs, every pair by an inverted index, components by union."""
+    sets = {}
+    for d, t in texts.items():
+        w = words(t)
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    inverted = defaultdict(list)
+    for d, s in sorted(sets.items()):
+        for o, n in Counter(o for g in s for o in inverted[g]).items():
+            if 100 * n >= pct * (len(s) + len(sets[o]) - n):
+                a, b = root(d), root(o)
+                up[max(a, b)] = min(a, b)
+        for g in s:
+            inverted[g].append(d)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def edited(n, seed, sizes=(3, 400)):
+    """Texts with families of near copies at every distance."""
+    rnd = random.Random(seed)
+    out = {}
+    while len(out) < n:
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.randint(*sizes))]
+        for _ in range(rnd.choice([1, 1, 2, 5, 12])):
+            text = list(base)
+            for _ in range(rnd.randint(0, max(1, len(text) // 20))):
+                i = rnd.randrange(len(text))
+                text[i : i + rnd.randint(0, 1)] = [f"w{rnd.randint(0, 5000)}"] * rnd.randint(0, 2)
+            out[len(out)] = " ".join(text)
+    return out
+
+
+@pytest.mark.parametrize(("k", "pct", "seed", "sizes", "most"), [(4, 85, 1, (3, 400), 4_000_000), (5, 80, 2, (3, 40), 4_000_000), (4, 85, 3, (50, 200), 3000), (2, 50, 4, (3, 60), 4_000_000)])
+def test_ngram_components(spark, k, pct, seed, sizes, most):
+    made = edited(500, seed, sizes)
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, k, pct, most).collect()}
+    assert got == components(made, k, pct)
+
+
+def test_ngram_components_of_documents(spark, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_ngram_join(spark, SF).collect()}
+    assert got == components(texts, 4, 85)
+
+
+def test_keys_of_linked_sets_meet():
+    rnd = np.random.default_rng(0)
+    for pct in (80, 85):
+        for n in [*range(2, 60), 200, 900]:
+            a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+            for _ in range(6):
+                keep = rnd.permutation(len(a))[: rnd.integers(max(1, int(len(a) * 0.8)), len(a) + 1)]
+                b = np.unique(np.concatenate((a[keep], rnd.integers(0, 2**64, rnd.integers(0, max(1, n // 6) + 1), dtype=np.uint64))))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= pct * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                    assert len(np.intersect1d(ngram_join.keys_of(a, pct, {}), ngram_join.keys_of(b, pct, {})))
+
+
+def test_shingles_are_those_of_words():
+    rows = ["A b  c\td", "", None, "é É x", "one", " lead and trail ", "a b c d e f"]
+    for k in (1, 2, 4):
+        got = [len(s) for s in textarrays.shingle_sets(pa.array(rows), k)]
+        want = [len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) or (1 if w else 0) for w in map(words, rows)]
+        assert got == want
+    a, b = textarrays.shingle_sets(pa.array(["THE Cat", "the cat"]), 2)
+    assert np.array_equal(a, b)
+
+
+def test_components(spark):
+    rnd = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rnd.randint(2000, 2100), rnd.randint(2000, 2100)) for _ in range(60)] + [(7, 7), (None, 3)]
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    got = {r.v: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: root(v) for v in up}
+
+
+def test_url_rules_by_brute_force(spark):
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op1_url_filters(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect():
+        _, _, rest = r.url.partition("://")
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fit = max(((len(h + p), h + p, v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, "allow"))
+        assert got[r.page_id] == (host, path, *fit[1:])
+
+
+def test_hypergeometric_law(spark):
+    rows = spark.range(8000).select(mixing.hypergeometric(F.lit(50).cast("long"), F.lit(12).cast("long"), F.lit(20).cast("long"), mixing.uniform(3, F.col("id"))).alias("x")).groupBy("x").count().collect()
+    for r in rows:
+        p = comb(12, r.x) * comb(38, 20 - r.x) / comb(50, 20)
+        assert abs(r["count"] - 8000 * p) < 5 * (8000 * p) ** 0.5 + 8
+
+
+def test_mixing_targets_and_shards(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mix = mixing.mix_sources(docs, [3, 1, 2], shard_words=4000)
+    rows = mix.toPandas()
+    by = rows.groupby("source").agg(size=("source_size", "first"), real=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (by["size"] == by.real).all() and ((by.target - by.taken).abs() < 1).all()
+    assert (rows.taken <= 2 * rows["size"]).all() and abs(by.target.sum() - 1.5 * by["size"].sum()) < 1e-6 * by["size"].sum()
+    # Targets by the plain loop: capped sources leave their excess to the others.
+    names = sorted(by.index)
+    weight = dict(zip(names, [3, 1, 2] * len(names)))
+    left, free, want = 1.5 * by["size"].sum(), set(names), {}
+    while True:
+        level = left / sum(weight[n] for n in free)
+        over = {n for n in free if weight[n] * level > 2 * by["size"][n]}
+        if not over:
+            break
+        for n in over:
+            want[n] = 2.0 * by["size"][n]
+            left -= want[n]
+        free -= over
+    want |= {n: weight[n] * level for n in free}
+    assert all(abs(want[n] - by.target[n]) < 1e-6 * want[n] + 1e-9 for n in names)
+    shards = mixing.shards(mix).toPandas()
+    assert shards.words.sum() == rows.taken.sum() and shards.shard.nunique() > 5
+    assert (shards.groupby("shard").position.apply(lambda p: sorted(p) == list(range(len(p))))).all()
+    again = mixing.mix_sources(docs, [3, 1, 2], shard_words=4000).toPandas()
+    assert again.sort_values("doc_id").taken.tolist() == rows.sort_values("doc_id").taken.tolist()
+
+
+def base_spans(text):
+    """The base patterns, plainly."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets_by_brute_force(spark, texts):
+    rnd = random.Random(3)
+    bits = ["password", "Secret", "api_key", "apikey", "TOKEN", '"', "'", " ", ":", "=", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "abc", "longvalue_12345", "🙂", "é", "\n", "x" * 300, "user: bob", "https://a.b/c"]
+    made = dict(texts) | {10**6 + i: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for i in range(400)}
+    got = {r.doc_id: r for r in secrets.secret_digests(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    for d, t in made.items():
+        spans = base_spans(t)
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert ",".join(x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")) == line
+
+
+def test_weak_candidates_need_a_complement(spark):
+    rows = ["user: bobby and password: short12", "password: short12 alone", "user: bobby alone", "user: bobby " + "x" * 400 + " password: short12", "see https://h.example.com/x with Ab3Ab3Ab3Ab3Ab3Ab3Ab3", "Ab3Ab3Ab3Ab3Ab3Ab3Ab3"]
+    got = [r.spans for r in secrets.secret_digests(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["identifier:0:11,part:16:33", "", "", "", "part:33:54", ""]
+
+
+def test_pseudonyms(spark):
+    rows = ["card 4111 1111 1111 1111 and 4111111111111112", "+1 (017) 555-7713, 97.51.17.173; 300.1.1.1", "2024-02-29 2024-02-30 31.12.1999", "DE89370400440532013000 123-45-6789", "réeux.90@mail7.example.com", "97.51.17.173 again"]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert "4111111111111112" in got[0] and "4111 1111 1111 1111" not in got[0] and "300.1.1.1" in got[1] and "2024-02-30" in got[2]
+    digits = [int(x) for x in re.sub(r"\D", "", got[0].split(" and ")[0])][::-1]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * x, 10)) for x in digits[1::2])) % 10 == 0
+    assert re.search(r"(\d+\.){3}\d+", got[1])[0] == re.search(r"(\d+\.){3}\d+", got[5])[0] != "97.51.17.173"
+    assert re.fullmatch(r"\w+\.\d\d@\w{4}\d\.\w{7}\.com", got[4]) and "mail7" not in got[4]
+    iban = got[3].split()[0]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban.startswith("DE")
+
+
+def test_pseudonyms_are_permutations(spark):
+    n = spark.range(5000).select(pii.permute_number(F.col("id"), 5000, "k").alias("x")).collect()
+    assert sorted(r.x for r in n) == list(range(5000))
+    t = spark.range(1000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k").alias("x")).collect()
+    assert len({r.x for r in t}) == 1000
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert set(got.held_out) == {False, True} and all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in zip(got.doc_id, got.held_out))
+    good, bad = held[held.quality == 1].score.to_numpy(), held[held.quality == 0].score.to_numpy()
+    assert ((good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()) > 0.97
+    assert (held[held.quality == 1].predicted == 1).mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_isotonic():
+    assert quality.isotonic(np.array([3.0, 1, 2, 5, 4]), np.ones(5)).tolist() == [2, 2, 2, 4.5, 4.5]
+
+
+def test_statistics_do_not_depend_on_batches(texts):
+    rows = list(texts.values())[:50]
+    whole = quality.statistics(pa.array(rows))
+    assert np.allclose(whole, np.concatenate([quality.statistics(pa.array([t])) for t in rows]))
+
+
+def test_bpe_is_the_library(spark, texts):
+    from tokenizers import Tokenizer
+
+    theirs, ours = Tokenizer.from_file(bpe.default_vocabulary()), bpe.Tokenizer(bpe.default_vocabulary())
+    rnd = random.Random(1)
+    alphabet = "aA b\n\t'sré ́中文🙂‍ 　\x00\x1f0１Ⅷ\u0085 'lL'LLtTdD<|endoftext|>"
+    cases = [*list(texts.values())[:40], "<|endoftext|>a<|endoftext|>", " " * 300, "a" * 3000, *("".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) for _ in range(800))]
+    for t in cases:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert ours.encode(t) == ids and ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    got = {r.doc_id: r for r in queries.op8_bpe(spark, SF).collect()}
+    for d, t in list(texts.items())[:60]:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert ours.decode([ours.vocabulary["Ã"], 1]) == theirs.decode([ours.vocabulary["Ã"], 1], skip_special_tokens=False)
+
+
+def test_media_round_trip(spark, texts):
+    got = {r.doc_id: r for r in queries.op7_media(spark, SF).collect()}
+    for d, t in texts.items():
+        data = t.encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.media_sha256 == hashlib.sha256(media.stored(payload)).hexdigest() and r.media_bytes == len(media.stored(payload))
+
+
+def test_sequences_stay_aligned(spark):
+    html = "<body><p>One &amp; <b>two</b><figure><img src='m1' alt='x'><figcaption>Cap 1</figcaption></figure>mid<script>no<p></script><img src=m2 alt=alt2><img src=m3><p>end</body>"
+    rows = media.sequences(spark.createDataFrame([(1, html), (2, None), (1, html)], "page_id long, html string"))
+    table = spark.createDataFrame([("m1", 5), ("m2", 7)], "ref string, bytes int")
+    got = media.resolve(rows, table, "page_id").orderBy("page_id").collect()
+    want = [("text", "One & two", None, None, None), ("media", None, "m1", "Cap 1", 5), ("text", "mid", None, None, None), ("media", None, "m2", "alt2", 7), ("media", None, "m3", None, None), ("text", "end", None, None, None)]
+    assert len(got) == 3 and got[2]["items"] == []
+    for r in got[:2]:
+        assert [(i.kind, i.text, i.ref, i.caption, i.media and i.media.bytes) for i in r["items"]] == want
+
+
+def test_fingerprints_by_brute_force(spark, texts):
+    got = {r.doc_id: r for r in queries.op9_spotsigs(spark, SF).collect()}
+    order = sorted(texts)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sig = lambda x: set(spotsigs.signatures_of(x).tolist())
+    for i, d in enumerate(order):
+        after = order[(i + 1) % len(order)]
+        t, n, r = texts[d], texts[after], got[d]
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert sig(r.edited_fingerprint) == set(next(spotsigs.signatures(pa.array([e]))).tolist())
+        assert abs(r.near_edited - like(sig(r.fingerprint), sig(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - like(sig(r.fingerprint), sig(got[after].fingerprint))) < 1e-12
+
+
+def test_signatures_are_anchors_with_chains():
+    a, b, c = spotsigs.signatures(pa.array(["the house of stone wall", "x the house stone", "the of and"]))
+    assert len(a) == 2 and len(b) == 1 and len(c) == 1
+    assert set(b.tolist()) & set(a.tolist())  # the: house, stone
+    assert spotsigs.likeness(a, a) == 1.0 and spotsigs.likeness(a, c) == 0.0 and spotsigs.likeness(a[:0], a[:0]) == 1.0
+    assert spotsigs.likeness(a, b, 0.9) == 0.0
+
+
+def test_near_lengths_lie_in_neighbouring_classes():
+    for least in (0.5, 0.8):
+        for n in range(1, 400):
+            for m in range(n, int(n / least) + 1):
+                assert abs(spotsigs.length_class(n, least) - spotsigs.length_class(m, least)) <= 1
+
+
+def test_warc_round_trip(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages = pages.unionByName(pages.where("page_id < 5").withColumn("page_id", F.col("page_id") + 1000))
+    index = warc.write_archives(pages)
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in index.orderBy("page_id").limit(6).collect() + index.where("page_id = 1001").collect():
+        head, block = warc.read_record(r.asDict())
+        assert int(head["X-Page-ID"]) == r.page_id
+        assert block.decode() == ("" if r.page_id >= 1000 else html[r.page_id])
+    got = {r.page_id: r for r in warc.read_archives(spark, index).collect()}
+    assert set(got) == set(html)
+    for p, r in got.items():
+        data = html[p].encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", p - 1000) if p >= 1000 else ("response", None))
+
+
+def test_damaged_bundles_are_noticed(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string")
+    where = warc.write_archives(pages, f"file://{tmp_path}/w").first()
+    path = where["bundle"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[-3] ^= 255
+    open(path, "wb").write(data)
+    with pytest.raises(ValueError):
+        next(warc._read(iter([pa.RecordBatch.from_pydict({"bundle": [where["bundle"]]})])))
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.99 * labels.where("quality = 1").join(docs, "doc_id").count()
+    alone = stages["n-gram Jaccard join"](spark, kept, sf)
+    t = {r.doc_id: r.text for r in kept.collect()}
+    want = components(t, 5, 80)
+    assert {r.doc_id for r in alone.select("doc_id").collect()} == {d for d, (_, c) in want.items() if c == d}
+    out = stages["BPE encoding and decoding"](spark, alone.limit(50), sf)
+    assert out.where("NOT round_trip").count() == 0
