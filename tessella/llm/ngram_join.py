@@ -7,7 +7,8 @@ a subtree is cut when the tokens that remain on either side can't bring the over
 Blocks, so that no task needs all sets: two sets that link differ in at most d tokens (d from the larger size). The
 hash space is cut into more than d ranges, so at least one range holds the same tokens in both. A set's key for
 a range is a hash of its tokens there; sets with a common key are candidates, and connected candidates are a block. A key
-needs a whole range to agree, so a passage that many documents share puts none of them together unless the rest agrees.
+needs a whole range to agree. Tokens that occur in many sets (by a sketch of counters over all documents) are left out of
+keys, which adds no difference, so a passage that many documents share puts none of them together unless the rest agrees.
 Very small sets use the hashes of the set less up to two tokens instead. Both ways are exact: no link is lost.
 
 Equal sets are one class from the start. Keys are combined before the shuffle (of each map batch, a key goes on with one
@@ -32,10 +33,12 @@ from tessella.plans.shared import materialize
 
 #: Tokens of a block that one task joins at once.
 MAX_TOKENS = 4_000_000
-#: Postings (16 bytes each) of a bucket.
+#: Postings (6 bytes and a share of an id each) of a bucket.
 BUCKET_POSTINGS = 1_500_000
 #: Rows up to which the members of blocks are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A sketch of 2**SKETCH_BITS counters, of a fixed size, counts in how many different sets the tokens occur.
+SKETCH_BITS = 20
 #: Up to this many differing tokens, sets less some tokens are the keys.
 FEW = 2
 
@@ -58,13 +61,30 @@ def size_ranges(n: int, pct: int) -> tuple[int, int, int]:
         level, low = level + 1, high + 1
 
 
-def keys_of(tokens: np.ndarray, pct: int, ranges: dict) -> np.ndarray:
-    """Keys of a sorted set: two different linked sets have one in common at least."""
+def range_keys(tokens: np.ndarray, mixed: np.ndarray, m: int, salt: np.ndarray, empty: int) -> tuple[np.ndarray, bool]:
+    """Keys of the m ranges of the hash space, without those of empty ranges if there are `empty` or fewer; whether there are."""
+    part = ((tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    bounds = np.searchsorted(part, np.arange(m + 1))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
+    key = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.arange(1, m + 1, dtype=np.uint64) + salt))
+    full = bounds[1:] > bounds[:-1]
+    few = bool(m - full.sum() <= empty)
+    return (key[full] if few else key), few
+
+
+def keys_of(tokens: np.ndarray, pct: int, ranges: dict, hot: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a sorted set: two different linked sets have one in common at least.
+
+    Tokens for which hot[top bits] is set don't count at first: leaving tokens out of both sets adds no difference. Of more
+    than d + empty ranges, more than `empty` agree; if these are all empty, both sets have more than `empty` empty ranges, and such
+    sets get the keys of all their tokens too.
+    """
     n = len(tokens)
     if n not in ranges:
         ranges[n] = size_ranges(n, pct)
     level, high, higher = ranges[n]
     mixed = mix(tokens)
+    cool = ~hot[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] if hot is not None else np.ones(n, bool)
     out = []
     for at, most in ((level, high), (level + 1, higher)):
         d = spread(most, most, pct)
@@ -79,15 +99,13 @@ def keys_of(tokens: np.ndarray, pct: int, ranges: dict) -> np.ndarray:
                 less.append(whole - mixed[i] - mixed[j])
             out.append(mix(np.concatenate(less) ^ salt))
             continue
-        # Up to `empty` ranges without a token are allowed for; with more, the empty ranges are keys too.
-        empty = 4 if most < 64 else 2
-        m = d + 1 + empty
-        part = ((tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        bounds = np.searchsorted(part, np.arange(m + 1))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
-        key = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.arange(1, m + 1, dtype=np.uint64) + salt))
-        full = bounds[1:] > bounds[:-1]
-        out.append(key if m - full.sum() > empty else key[full])
+        empty = 4 if most < 64 else 2 + d // 12
+        key, few = range_keys(tokens[cool], mixed[cool], d + 1 + empty, salt, empty)
+        if few:
+            out.append(key)
+        else:
+            part, _ = range_keys(tokens[cool], mixed[cool], d + 1 + empty, salt, d + 1 + empty)
+            out += [part, range_keys(tokens, mixed, d + 1 + empty, mix(salt), empty)[0]]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -106,6 +124,12 @@ def star(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[first], ids[first], ids[other], least[other]
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array, the distinct values and how often each occurs."""
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.concatenate((first, [len(values)]))).astype(np.int32)
+
+
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distinct rows of (a, b)."""
     if not len(a):
@@ -119,30 +143,63 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, d1, d2)."""
+    """(doc_id, text) to (doc_id, n_shingles, d1, d2, null), and at the end one row with the task's counters."""
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    id_type = pa.int64()
+
+    def rows(ids: pa.Array, sizes: list, d1: list, d2: list, counters: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(counters, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "counters"])
+
     for batch in small_batches(batches, "text"):
         sets = list(shingle_sets(batch.column("text"), k))
         both = [digest(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+        if some := [s for s in sets if len(s)]:
+            counts += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+        yield rows(batch.column("doc_id"), [len(s) for s in sets], [x for x, _ in both], [y for _, y in both], [None] * len(sets))
+    if counts.any():
+        yield rows(pa.nulls(1, id_type), [None], [None], [None], [counts.tobytes()])
+
+
+def add_counters(table: pa.Table) -> pa.Table:
+    """Of a slot: the sum of its tasks' counters."""
+    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    for x in table.column("counters"):
+        total += np.frombuffer(x.as_buffer(), np.uint32)
+    return pa.table({"counters": pa.array([total.tobytes()], pa.binary())})
+
+
+def hot_tokens(sizes: DataFrame) -> np.ndarray:
+    """Which counters stand out: those far above the mean. A fixed 1 MB, from eight sums of fixed size, whatever the input."""
+    slots = sizes.where("counters IS NOT NULL").select("counters").withColumn("slot", F.pmod(F.xxhash64("counters"), F.lit(8)))
+    parts = slots.groupBy("slot").applyInArrow(lambda t: add_counters(t), "counters binary").collect()
+    total = sum((np.frombuffer(bytes(r["counters"]), np.uint64) for r in parts), np.zeros(1 << SKETCH_BITS, np.uint64)).astype(float)
+    middle = float(np.median(total))
+    return total > middle + 6 * middle**0.5 + 16
 
 
-def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(text) to (bucket, keys and ids, links) of the different sets, with one id for each key of a batch."""
+def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int, hot: bytes) -> Iterator[pa.RecordBatch]:
+    """(text) to (bucket, ids, number of keys of each, keys, links) of the different sets, with one id for each key of a batch."""
     ranges: dict = {}
     seen: set[int] = set()
+    above = np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool)
 
     def packed(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
         held = np.concatenate(keys)
         key, least, other, to = star(held, np.repeat(np.array(ids, np.int64), [len(x) for x in keys]))
         links = distinct_pairs(other, to)
-        # The bucket is taken from mixed bits, so that each bucket's keys are spread anew.
+        # The bucket is taken from mixed bits; in a bucket, 48 bits tell keys apart (a chance match is only one more candidate).
         where = (mix(key) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
+        order = np.lexsort((least, where))
+        key, least = key[order], least[order]
         cut = np.searchsorted(where[order], np.arange(buckets + 1))
-        pairs = np.stack((key[order].view(np.int64), least[order]), 1)
         spot = links[:, 0] % buckets if len(links) else np.zeros(0, np.int64)
-        rows = [(b, pairs[cut[b] : cut[b + 1]].tobytes(), links[spot == b].tobytes()) for b in range(buckets) if cut[b + 1] > cut[b] or (spot == b).any()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "postings", "links"])
+        rows = []
+        for b in range(buckets):
+            own, also = slice(cut[b], cut[b + 1]), links[spot == b]
+            if cut[b + 1] > cut[b] or len(also):
+                who, counts = runs(least[own])
+                rows.append((b, who.tobytes(), counts.tobytes(), key[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), also.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "ids", "counts", "keys", "links"])
 
     keys: list[np.ndarray] = []
     ids: list[int] = []
@@ -157,7 +214,7 @@ def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) -> I
             if len(seen) > 500_000:
                 seen.clear()
             seen.add(who)
-            own = keys_of(s, pct, ranges)
+            own = keys_of(s, pct, ranges, above)
             if len(own):
                 keys.append(own)
                 ids.append(who)
@@ -171,9 +228,12 @@ def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int) -> I
 
 def meet(table: pa.Table) -> pa.Table:
     """Of a bucket: the distinct links (a, b) between sets with a key in common."""
-    got = np.frombuffer(b"".join(x for x in table.column("postings").to_pylist() if x), np.int64).reshape(-1, 2)
-    old = np.frombuffer(b"".join(x for x in table.column("links").to_pylist() if x), np.int64).reshape(-1, 2)
-    _, _, other, to = star(got[:, 0], got[:, 1])
+    joined = {c: b"".join(x for x in table.column(c).to_pylist() if x) for c in ("ids", "counts", "keys", "links")}
+    ids = np.repeat(np.frombuffer(joined["ids"], np.int64), np.frombuffer(joined["counts"], np.int32))
+    keys = np.zeros((len(ids), 8), np.uint8)
+    keys[:, :6] = np.frombuffer(joined["keys"], np.uint8).reshape(-1, 6)
+    old = np.frombuffer(joined["links"], np.int64).reshape(-1, 2)
+    _, _, other, to = star(keys.view(np.int64).ravel(), ids)
     pairs = distinct_pairs(np.concatenate((other, old[:, 0])), np.concatenate((to, old[:, 1])))
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -324,12 +384,14 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(docs.mapInArrow(partial(describe, k=k), "doc_id long, n_shingles long, d1 long, d2 long"), "sizes")
+    sizes = materialize(docs.mapInArrow(partial(describe, k=k), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
+    hot = np.packbits(hot_tokens(sizes)).tobytes()
+    sizes = sizes.where("counters IS NULL").drop("counters")
     classes = materialize(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(8, int(total * 5 * (100 - pct) / (100 + pct)) // BUCKET_POSTINGS + 1)
-    posted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(partial(post, k=k, pct=pct, buckets=buckets), "bucket int, postings binary, links binary")
+    posted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(partial(post, k=k, pct=pct, buckets=buckets, hot=hot), "bucket int, ids binary, counts binary, keys binary, links binary")
     near = connected_components(posted.groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long"))
 
     members = near.join(classes, near.v == classes.d1).select("rep", F.col("component").alias("block"), "n_shingles")
