@@ -121,8 +121,10 @@ def resolve(rows: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
     rows = rows.select(id_column, "items", F.xxhash64(F.to_json("items")).alias("_h"))
     # Equal rows have equal items: they are counted here and given out again.
     rows = rows.groupBy(*key).agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("_n"))
-    items = rows.select(*key, "_n", F.explode_outer("items").alias("item")).withColumn("ref", F.col("item.ref"))
-    joined = items.join(media, "ref", "left").select(*key, "_n", F.when(F.col("item").isNotNull(), F.struct("item.position", "item.kind", "item.text", "item.ref", "item.caption", F.when(F.col("ref").isNotNull(), found).alias("media"))).alias("item"))
+    items = rows.select(*key, "_n", F.explode_outer("items").alias("item"))
+    # Text has no reference: a key of its own that nothing has, instead of one null for all.
+    items = items.withColumn("ref", F.coalesce("item.ref", F.concat_ws(":", F.lit("\0text"), "_h", "item.position")))
+    joined = items.join(media.withColumn("_there", F.lit(True)), "ref", "left").select(*key, "_n", F.when(F.col("item").isNotNull(), F.struct("item.position", "item.kind", "item.text", "item.ref", "item.caption", F.when(F.col("_there"), found).alias("media"))).alias("item"))
     whole = joined.groupBy(*key, "_n").agg(F.array_sort(F.collect_list("item"), lambda x, y: x["position"] - y["position"]).alias("items"))
     return whole.select(id_column, "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
 
@@ -189,7 +191,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     table = materialize(rows.mapInArrow(partial(_store, id_type=arrow), f"doc_id {kind}, html string, n_bytes long, ref string, media binary"), "media")
     names = [x.split()[0] for x in FEATURES.split(", ") if not x.startswith("ref ")]
     media = table.select("ref", "n_bytes", "media").mapInArrow(_features, FEATURES).groupBy("ref").agg(*(F.first(c).alias(c) for c in names))
-    return resolve(sequences(table, "doc_id"), media, "doc_id")
+    # As a table of its own, so that the join deals both sides anew and can split a reference that many documents share.
+    return resolve(sequences(table, "doc_id"), materialize(media, "features"), "doc_id")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
