@@ -46,6 +46,22 @@ def byte_letters() -> list[str]:
     return out
 
 
+class Kept(dict):
+    """What a function gives for a word; words that recur are looked up. It begins anew when it is full."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        got = self.make(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class Tokenizer:
     """Byte-level BPE from a tokenizer file without normalizer."""
 
@@ -64,7 +80,9 @@ class Tokenizer:
         self.special_bytes = {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORDS)
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        #: Of a word, its ids joined by commas, and the bytes that these ids stand for.
+        self.ids_text = Kept(lambda w: ",".join(map(str, self.merge(w.encode()))))
+        self.back = Kept(lambda w: self.decode_bytes([int(x) for x in self.ids_text[w].split(",")]))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of a word."""
@@ -103,39 +121,40 @@ class Tokenizer:
         """The text that the ids stand for; bytes that are no UTF-8 become U+FFFD."""
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def word(self, word: str) -> tuple[int, str, bytes]:
-        """(number of ids, ids joined by commas, decoded bytes) of a word."""
-        ids = self.merge(word.encode())
-        got = len(ids), ",".join(map(str, ids)), self.decode_bytes(ids)
-        if len(word) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = got
-        return got
-
-    def pieces(self, text: str) -> Iterator[tuple[int, str, bytes]]:
-        """word() of every word and special token of a text."""
+    def parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
+        """The words between special tokens, each time followed by the next special token's id."""
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
-                yield 1, str(self.special[part]), part.encode()
+                yield [], self.special[part]
             elif part:
-                kept = self.kept
-                for w in self.words.findall(part):
-                    yield kept.get(w) or self.word(w)
+                yield self.words.findall(part), None
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; special tokens in it are recognised."""
-        return [int(x) for _, ids, _ in self.pieces(text) for x in ids.split(",")]
+        out: list[int] = []
+        for found, special in self.parts(text):
+            if special is not None:
+                out.append(special)
+            else:
+                out += map(int, ",".join(map(self.ids_text.__getitem__, found)).split(","))
+        return out
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        got = list(self.pieces(text))
-        back = b"".join(x[2] for x in got)
+        ids, back = [], []
+        for found, special in self.parts(text):
+            if special is not None:
+                ids.append(str(special))
+                back.append(self.special_bytes[special])
+            else:
+                ids.append(",".join(map(self.ids_text.__getitem__, found)))
+                back.append(b"".join(map(self.back.__getitem__, found)))
+        joined, whole = ",".join(ids), b"".join(back)
         try:
-            back.decode()
+            whole.decode()
         except UnicodeDecodeError:
-            back = back.decode("utf-8", "replace").encode()
-        return sum(x[0] for x in got), sha256(",".join([x[1] for x in got]).encode()).hexdigest(), sha256(back).hexdigest()
+            whole = whole.decode("utf-8", "replace").encode()
+        return joined.count(",") + 1 if joined else 0, sha256(joined.encode()).hexdigest(), sha256(whole).hexdigest()
 
 
 @lru_cache(maxsize=2)
