@@ -112,3 +112,30 @@ def go_function(rows: DataFrame) -> DataFrame:
         F.from_json(F.try_element_at("metadata", F.lit("params")), params).alias("parameters"),
         F.from_json(F.try_element_at("metadata", F.lit("returns")), params).alias("returns"),
     )
+
+
+PARAMS = "array<struct<name:string,type:string,description:string,optional:boolean>>"
+
+
+def _json(name: str, kind: str) -> Column:
+    """A metadata value, which is a JSON text."""
+    return F.from_json(F.concat(F.lit('{"x":'), F.try_element_at("metadata", F.lit(name)), F.lit("}")), f"x {kind}")["x"]
+
+
+def php_function(rows: DataFrame) -> DataFrame:
+    """Function and method chunks of PHP with class, visibility, parameters and return type; without a type it is mixed."""
+    found = rows.where("type IN ('function', 'method')")
+    params = F.transform(_json("params", PARAMS), lambda p: F.struct(p["name"].alias("name"), F.coalesce(F.nullif(p["type"], F.lit("")), F.lit("mixed")).alias("type"), p["optional"].alias("optional")))
+    return found.select("name", F.col("type").alias("kind"), F.coalesce(_json("class_name", "string"), F.lit("")).alias("class_name"), F.coalesce(_json("visibility", "string"), F.lit("public")).alias("visibility"), F.coalesce(_json("is_static", "boolean"), F.lit(False)).alias("is_static"), params.alias("parameters"), F.coalesce(F.nullif(_json("returns", "string"), F.lit("")), F.lit("mixed")).alias("returns"), "package", "start_line", "end_line")
+
+
+MODEL = "struct<table:string,fillable:array<string>,soft_deletes:boolean,relations:array<struct<name:string,type:string,related_model:string>>>"
+
+
+def php_type(rows: DataFrame) -> DataFrame:
+    """Classes, interfaces and traits of PHP; models say so, with their relations as return types, and have tags."""
+    model = _json("eloquent", MODEL)
+    found = rows.where("type IN ('class', 'interface', 'trait')").withColumn("m", model)
+    tags = F.array_compact(F.array(F.when(F.col("m").isNotNull(), "eloquent"), F.when(F.col("m.soft_deletes"), "soft_deletes"), F.when(_json("is_abstract", "boolean"), "abstract")))
+    relations = F.transform(F.coalesce("m.relations", F.array().cast("array<struct<name:string,type:string,related_model:string>>")), lambda r: F.struct(r["name"].alias("name"), T.relation_return_type(r["type"], r["related_model"]).alias("returns")))
+    return found.select("name", F.when(F.col("m").isNotNull(), "model").otherwise(F.col("type")).alias("kind"), _json("full_name", "string").alias("full_name"), "package", F.coalesce("m.table", F.lit("")).alias("table_name"), relations.alias("relations"), tags.alias("tags"))

@@ -217,3 +217,26 @@ def markdown_chunks(t):
 @query("index_chunks", "SELECT u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('class', 'K' || doc_id, 'm' || doc_id), ('method', 'run', 'm' || doc_id), ('property', 'v', 'm' || doc_id), ('function', 'f' || doc_id, 'm' || doc_id), ('const', 'MAX_' || doc_id, 'm' || doc_id), ('var', 'name', 'm' || doc_id)) AS v(type, name, package)) AS u")
 def index_chunks(t):
     return A.index_rows(A.analyze(python_files(t))).where(F.size("embedding") == 64).select("type", "name", "package")
+
+
+@query("php_function_descriptor", "SELECT '/w/m' || doc_id AS file, u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('posts', 'method', 'M' || doc_id, 'HasMany', 0), ('role', 'method', 'M' || doc_id, 'mixed', 0), ('scopeActive', 'method', 'M' || doc_id, 'mixed', 1), ('getFullNameAttribute', 'method', 'M' || doc_id, 'mixed', 0), ('helper' || doc_id, 'function', '', 'mixed', 1)) AS v(name, kind, class_name, returns, n_params)) AS u")
+def php_function_descriptor(t):
+    from tessella.operators import search as S
+
+    rows = S.php_function(A.analyze(php_files(t)))
+    return rows.select(F.concat(F.lit("/w/m"), F.regexp_extract("package", r"(\d+)$", 1)).alias("file"), "name", "kind", "class_name", "returns", F.size("parameters").alias("n_params"))
+
+
+@query("php_type_descriptor", r"SELECT 'M' || doc_id AS name, 'model' AS kind, 't' || doc_id AS table_name, ['HasMany<App\Models' || doc_id || '\Post>', 'BelongsTo<App\Other\Role>'] AS relations, ['eloquent', 'soft_deletes'] AS tags FROM documents")
+def php_type_descriptor(t):
+    from tessella.operators import search as S
+
+    return S.php_type(A.analyze(php_files(t))).select("name", "kind", "table_name", F.col("relations.returns").alias("relations"), "tags")
+
+
+@query("php_exports", r"SELECT 'class' AS type, 'M' || doc_id AS name FROM documents WHERE doc_id = 7")
+def php_exports(t):
+    from tessella.operators import search as S
+
+    rows = A.analyze(php_files(t)).withColumn("id", F.col("file_path"))
+    return S.exports(rows, "App\\Models7", kind="class", php=True).select("type", "name")

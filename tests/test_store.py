@@ -65,3 +65,28 @@ def test_debounce_of_a_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r.events for r in spark.read.parquet(out).collect()) in ([1, 3], [1, 1, 3])
     assert sorted(r.events for r in watch.debounce(e).collect()) == [1, 1, 3]
+
+
+def test_index_workspace_follows_changes(spark, tmp_path):
+    import os
+
+    from tessella.plans.index import Config, index_workspace
+
+    root, table = tmp_path / "ws", f"file://{tmp_path}/index"
+    (root / "src").mkdir(parents=True)
+    (root / "src/a.py").write_text("def f():\n    return 1\n")
+    (root / "src/b.go").write_text("package b\nfunc B() {}\n")
+    (root / "README.md").write_text("# One\n\nTwo\n")
+    assert index_workspace(spark, str(root), table) == {"added": 3}
+    names = lambda: sorted(r["name"] for r in spark.read.parquet(f"{table}/chunks").collect())
+    assert names() == ["", "", "B", "f"]
+    assert index_workspace(spark, str(root), table) == {"unchanged": 3}
+    (root / "src/a.py").write_text("def g():\n    return 22\n")
+    os.remove(root / "src/b.go")
+    (root / "src/c.php").write_text("<?php function h() { return 1; }\n")
+    assert index_workspace(spark, str(root), table) == {"unchanged": 1, "modified": 1, "deleted": 1, "added": 1}
+    assert names() == ["", "", "g", "h"]
+    assert index_workspace(spark, str(root), table) == {"unchanged": 3}
+    assert Config.load({"dimension": 8}, {"TESSELLA_EXCLUDE": "a, b"}) == Config(dimension=8, exclude=["a", "b"])
+    with pytest.raises(ValueError):
+        Config.load({}, {"TESSELLA_OTHER": "1"})
