@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.plans.shared import materialize
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Up to so many links (16 bytes each) one task finds the components by itself.
+FEW_LINKS = 10_000
+
+
+def few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) to (v, component), by union-find."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(v) for v in up], pa.int64())], ["v", "component"])
+
+
+def connected_components(links: DataFrame, rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(v, component) of every end of links (a, b): the smallest id that it reaches.
 
     Contraction: every vertex points to the smallest among itself and its neighbours (a map-side minimum, so a vertex with
     many links is one row a task), pointers are followed until they end (each time twice as far, so long chains take few
     steps), and links are drawn anew between the ends. Only vertices that are smaller than all their neighbours are left
     for the next round. Labels are then read backwards through the rounds. Rounds are written tables; nothing but whether
-    something is left comes to the driver. Null ends and loops are ignored; repeated links count once.
+    something is left comes to the driver. Up to `few` links go through one task instead. Null ends and loops are ignored; repeated links count once.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
         return materialize(df.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
     links = tidy(links)
+    if links.limit(few + 1).count() <= few:
+        return materialize(links.coalesce(1).mapInArrow(few_components, "v long, component long"), "labels")
     steps: list[DataFrame] = []
     for _ in range(rounds):
         if links.isEmpty():

@@ -116,8 +116,9 @@ def test_components(spark):
         if a is not None and a != b:
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    got = {r.v: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {v: root(v) for v in up}
+    for few in (0, graph.FEW_LINKS):
+        got = {r.v: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
+        assert got == {v: root(v) for v in up}
 
 
 def test_url_rules_by_brute_force(spark):
