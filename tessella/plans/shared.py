@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is not set")
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        own = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
