@@ -56,7 +56,9 @@ def connected_components(links: DataFrame, rounds: int = 60, few: int = FEW_LINK
         step = materialize(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("u", "v").alias("p"), F.lit(True).alias("moved")), "pointers")
         for _ in range(rounds):
             further = step.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            step = materialize(step.join(further, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
+            twice = step.join(further, "p").select("v", F.col("q").alias("p"))
+            last = step.select(F.col("v").alias("p"), F.col("p").alias("q"))
+            step = materialize(twice.join(last, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "pointers")
             if step.where("moved").isEmpty():
                 break
         step = step.select("v", "p")

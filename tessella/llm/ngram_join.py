@@ -160,21 +160,30 @@ def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield rows(pa.nulls(1, id_type), [None], [None], [None], [counts.tobytes()])
 
 
-def add_counters(table: pa.Table) -> pa.Table:
-    """Of a slot: the sum of its tasks' counters."""
+def add_counters(parts: pa.ChunkedArray) -> np.ndarray:
+    """The sum of counters, a small share of which is held at once."""
     total = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for x in table.column("counters"):
-        total += np.frombuffer(x.as_buffer(), np.uint32)
-    return pa.table({"counters": pa.array([total.tobytes()], pa.binary())})
+    for x in parts:
+        counts = np.frombuffer(x.as_buffer(), np.uint8)
+        total += counts.view(np.uint32 if len(counts) == 4 << SKETCH_BITS else np.uint64)
+    return total
 
 
-def hot_tokens(sizes: DataFrame) -> np.ndarray:
-    """Which counters stand out: those far above the mean. A fixed 1 MB, from eight sums of fixed size, whatever the input."""
-    slots = sizes.where("counters IS NOT NULL").select("counters").withColumn("slot", F.pmod(F.xxhash64("counters"), F.lit(8)))
-    parts = slots.groupBy("slot").applyInArrow(lambda t: add_counters(t), "counters binary").collect()
-    total = sum((np.frombuffer(bytes(r["counters"]), np.uint64) for r in parts), np.zeros(1 << SKETCH_BITS, np.uint64)).astype(float)
-    middle = float(np.median(total))
-    return total > middle + 6 * middle**0.5 + 16
+def hot_tokens(sizes: DataFrame) -> bytes:
+    """Which counters stand out, far above the median, as packed bits: 128 KB that the driver passes on, whatever the input."""
+
+    def part(t: pa.Table) -> pa.Table:
+        return pa.table({"counters": pa.array([add_counters(t.column("counters")).tobytes()], pa.binary())})
+
+    def bits(t: pa.Table) -> pa.Table:
+        total = add_counters(t.column("counters")).astype(float)
+        middle = float(np.median(total))
+        return pa.table({"hot": pa.array([np.packbits(total > middle + 6 * middle**0.5 + 16).tobytes()], pa.binary())})
+
+    counters = sizes.where("counters IS NOT NULL").select("counters", F.pmod(F.xxhash64("counters"), F.lit(8)).alias("slot"))
+    sums = counters.groupBy("slot").applyInArrow(lambda t: part(t), "counters binary")
+    found = sums.withColumn("slot", F.lit(0)).groupBy("slot").applyInArrow(lambda t: bits(t), "hot binary").collect()
+    return bytes(found[0]["hot"]) if found else bytes((1 << SKETCH_BITS) // 8)
 
 
 def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int, hot: bytes) -> Iterator[pa.RecordBatch]:
@@ -385,7 +394,7 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = materialize(docs.mapInArrow(partial(describe, k=k), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
-    hot = np.packbits(hot_tokens(sizes)).tobytes()
+    hot = hot_tokens(sizes)
     sizes = sizes.where("counters IS NULL").drop("counters")
     classes = materialize(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
