@@ -37,7 +37,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     rules = rules.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
     rules = rules.groupBy(F.translate("host", LETTERS, LETTERS.lower()).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("rule_verdict"))
     expression = F.concat("rule_host", "rule_path")
-    lengths = rules.agg(F.collect_set(F.length("rule_path")).alias("lengths"))  # as many as a path has characters at most
+    # Path lengths that rules have: as many as a path has characters at most.
+    lengths = F.array(*(F.lit(r["n"]) for r in rules.select(F.length("rule_path").alias("n")).distinct().collect())).cast("array<int>")
     rules = rules.select("rule_host", "rule_path", "rule_verdict", F.sha2(expression, 256).alias("rule_digest")).withColumn("prefix", F.left("rule_digest", F.lit(8)))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
@@ -47,9 +48,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     rows = rows.select("page_id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
     tries = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat(h, F.left("path", n)))))
-    tried = rows.crossJoin(F.broadcast(lengths)).select("page_id", "url", "copies", "host", "path", F.explode_outer(F.when(F.col("host") != "", tries)).alias("expression"))
+    tried = rows.select("page_id", "url", "copies", "host", "path", F.explode_outer(F.when(F.col("host") != "", tries)).alias("expression"))
     tried = tried.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.left("digest", F.lit(8)))
     met = tried.join(rules, "prefix", "left")
     # Full digests, then the text itself, decide.
