@@ -41,5 +41,6 @@ def apply(chunks: DataFrame, changes: DataFrame, made: DataFrame, file: str = "f
 
 def needs_reindex(now: DataFrame, before: DataFrame) -> DataFrame:
     """(needs_reindex) of two fingerprints; true without an earlier one."""
-    old = before.select(F.col("fingerprint").alias("old")).limit(1)
-    return now.select("fingerprint").join(old, F.lit(True), "left").select((~F.col("fingerprint").eqNullSafe(F.col("old"))).alias("needs_reindex"))
+    none = F.lit(None).cast("string")
+    both = now.select(F.col("fingerprint").alias("new"), none.alias("old")).union(before.select(none, "fingerprint"))
+    return both.agg((~F.max("new").eqNullSafe(F.max("old"))).alias("needs_reindex"))

@@ -100,7 +100,9 @@ def scan_fingerprint(t):
 @query("needs_reindex", "SELECT true AS changed, false AS same")
 def needs_reindex(t):
     every, fewer = S.fingerprint(files(t)), S.fingerprint(files(t).where("doc_id % 2 = 0"))
-    return I.needs_reindex(every, fewer).select(F.col("needs_reindex").alias("changed")).join(I.needs_reindex(every, every).select(F.col("needs_reindex").alias("same")), F.lit(True))
+    none = F.lit(None).cast("boolean")
+    both = I.needs_reindex(every, fewer).select(F.col("needs_reindex").alias("changed"), none.alias("same")).union(I.needs_reindex(every, every).select(none, "needs_reindex"))
+    return both.agg(F.bool_or("changed").alias("changed"), F.bool_or("same").alias("same"))
 
 
 @query("markdown_ids", """WITH RECURSIVE k AS (SELECT doc_id, encode('f' || doc_id || '#0') AS b FROM documents), h AS (SELECT doc_id, b, 0 AS i, 14695981039346656037::HUGEINT AS h FROM k UNION ALL

@@ -39,9 +39,9 @@ def fingerprint(files: DataFrame) -> DataFrame:
     kept = classify(files)
     dirs = kept.where("language NOT IN ('', 'markdown')").select(F.xxhash64(F.lit("dir"), "language", P.directory(F.col("path"))).alias("h")).distinct()
     docs = kept.where("language = 'markdown'").select(F.xxhash64(F.lit("doc"), "path").alias("h")).distinct()
-    count = kept.select(F.lit(1)).agg(F.count(F.lit(1)).alias("n"))
-    total = dirs.union(docs).agg(F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"))
-    return total.crossJoin(count).select(F.hex(F.xxhash64(F.col("s").cast("string"), "n")).alias("fingerprint"), "n")
+    parts = dirs.union(docs).select(F.col("h").cast("decimal(20,0)").alias("h"), F.lit(0).cast("long").alias("n"))
+    total = parts.union(kept.agg(F.lit(0).cast("decimal(20,0)"), F.count(F.lit(1)))).agg(F.sum("h").alias("s"), F.sum("n").alias("n"))
+    return total.select(F.hex(F.xxhash64(F.col("s").cast("string"), "n")).alias("fingerprint"), "n")
 
 
 def resources(files: DataFrame, root: str) -> DataFrame:
