@@ -23,8 +23,10 @@ from tessella.llm.textarrays import small_batches
 
 #: Fixed value: the pattern by which byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept by one worker.
-KEPT_WORDS = 400_000
+#: Words of one generation that a worker keeps; there are two.
+KEPT_WORDS = 150_000
+#: Bytes of a column that are turned into lists of ids, or back, at once.
+ID_BATCH_BYTES = 1 << 20
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
@@ -47,16 +49,19 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """What a function gives for a word; words that recur are looked up. It begins anew when it is full."""
+    """What a function gives for a word, kept in two generations: a full one becomes the old one, from which words that recur return."""
 
     def __init__(self, make) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str):
-        got = self.make(word)
-        if len(word) <= KEPT_LENGTH:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if not isinstance(word, str) or len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
@@ -71,7 +76,10 @@ class Tokenizer:
         model = spec["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = {(self.vocabulary[a], self.vocabulary[b]): (rank, self.vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.size = max(self.vocabulary.values()) + 1
+        #: (left, right, merged) by rank, and the rank of left * size + right.
+        self.merges = [(self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]) for a, b in merges]
+        self.rank_of = {a * self.size + b: rank for rank, (a, b, _) in enumerate(self.merges)}
         self.letters = byte_letters()
         self.first = [self.vocabulary[x] for x in self.letters]
         self.bytes_of = {x: b for b, x in enumerate(self.letters)}
@@ -80,42 +88,43 @@ class Tokenizer:
         self.special_bytes = {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORDS)
+        #: Bytes that an id's vocabulary string stands for.
+        self.piece = Kept(lambda i: self.special_bytes.get(i) or bytes([self.bytes_of[c] for c in self.strings[i]]))
         #: Of a word, its ids joined by commas, and the bytes that these ids stand for.
-        self.ids_text = Kept(lambda w: ",".join(map(str, self.merge(w.encode()))))
-        self.back = Kept(lambda w: self.decode_bytes([int(x) for x in self.ids_text[w].split(",")]))
+        self.kept = Kept(self.word)
+
+    def word(self, word: str) -> tuple[str, bytes]:
+        ids = self.merge(word.encode())
+        return ",".join(map(str, ids)), self.decode_bytes(ids)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of a word."""
-        ids = [self.first[b] for b in data]
-        n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(*found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := self.merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        """Ids of a word. A heap entry is rank * length + place: the lowest rank first, then the leftmost."""
+        ids, n = [self.first[b] for b in data], len(data)
+        rank_of, size = self.rank_of.get, self.size
+        heap = [rank * n + i for i in range(n - 1) if (rank := rank_of(ids[i] * size + ids[i + 1])) is not None]
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i = divmod(heapq.heappop(heap), n)
+            left, right, merged = self.merges[rank]
             j = after[i]
-            if not alive[i] or ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] != left or j >= n or ids[j] != right:
                 continue  # stale: one of the two has been merged since
-            ids[i], alive[j] = new, False
+            ids[i], ids[j] = merged, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := self.merges.get((new, ids[k])):
-                    heapq.heappush(heap, (found[0], i, found[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (found := self.merges.get((ids[h], new))):
-                heapq.heappush(heap, (found[0], h, found[1], ids[h], new))
-        return [x for x, live in zip(ids, alive, strict=True) if live]
+                if (rank := rank_of(merged * size + ids[k])) is not None:
+                    heapq.heappush(heap, rank * n + i)
+            if (h := before[i]) >= 0 and (rank := rank_of(ids[h] * size + merged)) is not None:
+                heapq.heappush(heap, rank * n + h)
+        return [x for x in ids if x >= 0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        """The bytes that the ids stand for."""
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.special_bytes:
-                out.append(self.special_bytes[i])
-            else:
-                out.append(bytes(self.bytes_of[c] for c in self.strings[i]))
-        return b"".join(out)
+        """The bytes that the ids' vocabulary strings, one after the other, stand for."""
+        return b"".join(map(self.piece.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text that the ids stand for; bytes that are no UTF-8 become U+FFFD."""
@@ -136,7 +145,7 @@ class Tokenizer:
             if special is not None:
                 out.append(special)
             else:
-                out += map(int, ",".join(map(self.ids_text.__getitem__, found)).split(","))
+                out += map(int, ",".join([x for x, _ in map(self.kept.__getitem__, found)]).split(","))
         return out
 
     def digests(self, text: str) -> tuple[int, str, str]:
@@ -147,8 +156,9 @@ class Tokenizer:
                 ids.append(str(special))
                 back.append(self.special_bytes[special])
             else:
-                ids.append(",".join(map(self.ids_text.__getitem__, found)))
-                back.append(b"".join(map(self.back.__getitem__, found)))
+                got = list(map(self.kept.__getitem__, found))
+                ids.append(",".join([x for x, _ in got]))
+                back.append(b"".join([x for _, x in got]))
         joined, whole = ",".join(ids), b"".join(back)
         try:
             whole.decode()
@@ -164,20 +174,20 @@ def tokenizer(path: str) -> Tokenizer:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
-    for batch in small_batches(batches, "text"):
+    for batch in small_batches(batches, "text", 4 << 20):
         rows = [t.digests(x or "") for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
-    for batch in small_batches(batches, column):
+    for batch in small_batches(batches, column, ID_BATCH_BYTES):
         yield batch.append_column("ids", pa.array([t.encode(x or "") for x in batch.column(column).to_pylist()], pa.list_(pa.int32())))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
-    for batch in small_batches(batches, column):
+    for batch in small_batches(batches, column, ID_BATCH_BYTES):
         yield batch.append_column("decoded", pa.array([t.decode(x or []) for x in batch.column(column).to_pylist()], pa.string()))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once. A longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,7 +108,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingles(hashes, first, k)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about `most` bytes in the column at most (a longer row alone)."""
     for batch in batches:
         rows = batch.num_rows
