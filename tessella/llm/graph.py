@@ -12,7 +12,7 @@ from tessella.plans.shared import materialize
 
 
 #: Up to so many links (16 bytes each) one task finds the components by itself.
-FEW_LINKS = 10_000
+FEW_LINKS = 200_000
 
 
 def few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
