@@ -424,9 +424,10 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     links = sets.withColumn("slot", slot).drop("bin", "parts").groupBy("slot").applyInArrow(lambda t: join_bin(t, pct), "a long, b long")
     found = connected_components(links)
 
-    named = materialize(classes.join(found, classes.rep == found.v, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id")), "classes")
+    named = classes.join(found, classes.rep == found.v, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     # Rows with one doc_id and several texts are one vertex.
-    several = named.groupBy("n_shingles", "d1", "d2").agg(F.min("component_id").alias("component_id"))
+    # A table of its own, so that the join deals both sides anew and can split a class with many copies.
+    several = materialize(named.groupBy("n_shingles", "d1", "d2").agg(F.min("component_id").alias("component_id")), "classes")
     keys = ["n_shingles", "d1", "d2"]
     out = sizes.join(several, keys, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
