@@ -18,7 +18,7 @@ into parts whose pairs are joined apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 
@@ -42,6 +42,9 @@ SKETCH_BITS = 20
 #: Up to this many differing tokens, sets less some tokens are the keys.
 FEW = 2
 
+#: From texts to the sorted sets of 64-bit tokens that are compared.
+Sets = Callable[[pa.Array], Iterator[np.ndarray]]
+
 
 # ---- keys ------------------------------------------------------------------------------------------------------------
 
@@ -142,7 +145,7 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---- tasks -----------------------------------------------------------------------------------------------------------
 
 
-def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def describe(batches: Iterator[pa.RecordBatch], sets_of: Sets) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n_shingles, d1, d2, null), and at the end one row with the task's counters."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     id_type = pa.int64()
@@ -151,7 +154,7 @@ def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(counters, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "counters"])
 
     for batch in small_batches(batches, "text"):
-        sets = list(shingle_sets(batch.column("text"), k))
+        sets = list(sets_of(batch.column("text")))
         both = [digest(s) for s in sets]
         if some := [s for s in sets if len(s)]:
             counts += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
@@ -186,7 +189,7 @@ def hot_tokens(sizes: DataFrame) -> bytes:
     return bytes(found[0]["hot"]) if found else bytes((1 << SKETCH_BITS) // 8)
 
 
-def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int, hot: bytes) -> Iterator[pa.RecordBatch]:
+def post(batches: Iterator[pa.RecordBatch], sets_of: Sets, pct: int, buckets: int, hot: bytes) -> Iterator[pa.RecordBatch]:
     """(text) to (bucket, ids, number of keys of each, keys, links) of the different sets, with one id for each key of a batch."""
     ranges: dict = {}
     seen: set[int] = set()
@@ -214,7 +217,7 @@ def post(batches: Iterator[pa.RecordBatch], k: int, pct: int, buckets: int, hot:
     ids: list[int] = []
     held = 0
     for batch in small_batches(batches, "text"):
-        for s in shingle_sets(batch.column("text"), k):
+        for s in sets_of(batch.column("text")):
             if not len(s):
                 continue
             who = digest(s)[0]
@@ -247,10 +250,10 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def collect_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def collect_sets(batches: Iterator[pa.RecordBatch], sets_of: Sets) -> Iterator[pa.RecordBatch]:
     """(bin, block, part, doc_id, text) with the text's set in its place."""
     for batch in small_batches(batches, "text"):
-        sets = [s.astype(">u8").tobytes() for s in shingle_sets(batch.column("text"), k)]
+        sets = [s.astype(">u8").tobytes() for s in sets_of(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(sets, pa.binary())], ["bin", "block", "part", "doc_id", "tokens"])
 
 
@@ -391,16 +394,20 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     null doc_id have a null component_id and link nothing. Rows that share a doc_id are one vertex with several
     texts. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    return set_components(docs, partial(shingle_sets, k=k), pct, max_tokens)
+
+
+def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """ngram_components() for the sets that sets_of makes of texts; their tokens are spread evenly over 64 bits."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(docs.mapInArrow(partial(describe, k=k), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
+    sizes = materialize(docs.mapInArrow(partial(describe, sets_of=sets_of), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
     hot = hot_tokens(sizes)
     sizes = sizes.where("counters IS NULL").drop("counters")
     classes = materialize(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(8, int(total * 5 * (100 - pct) / (100 + pct)) // BUCKET_POSTINGS + 1)
-    posted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(partial(post, k=k, pct=pct, buckets=buckets, hot=hot), "bucket int, ids binary, counts binary, keys binary, links binary")
+    posted = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(partial(post, sets_of=sets_of, pct=pct, buckets=buckets, hot=hot), "bucket int, ids binary, counts binary, keys binary, links binary")
     near = connected_components(posted.groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long"))
 
     members = near.join(classes, near.v == classes.d1).select("rep", F.col("component").alias("block"), "n_shingles")
@@ -417,7 +424,7 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     # A part meets every part of its block once, in the task of that pair; on its own it is the left side.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     texts = docs.join(side, docs.doc_id == side.rep).select("bin", "block", F.struct("parts", "part").alias("part"), "doc_id", "text")
-    sets = texts.mapInArrow(partial(collect_sets, k=k), "bin long, block long, part struct<parts:int,part:int>, doc_id long, tokens binary")
+    sets = texts.mapInArrow(partial(collect_sets, sets_of=sets_of), "bin long, block long, part struct<parts:int,part:int>, doc_id long, tokens binary")
     sets = sets.select("bin", "block", F.col("part.parts").alias("parts"), F.col("part.part").alias("part"), "doc_id", "tokens").withColumn("pair", F.explode(pairs))
     sets = sets.select("bin", "block", F.when(F.col("parts") > 1, F.concat_ws("-", "pair.i", "pair.j")).otherwise("").alias("pair"), F.when(F.col("part") == F.col("pair.i"), 0).otherwise(1).alias("side"), "doc_id", "tokens", "parts")
     slot = F.when(F.col("parts") > 1, F.concat_ws("/", "block", "pair")).otherwise(F.col("bin").cast("string"))

@@ -2,8 +2,12 @@
 
 Method: wherever a common word stands (an anchor: articles, prepositions, conjunctions), the next content words form a chain; the
 hashes of anchor and chain are the signatures, and the set of them is the fingerprint. Boilerplate without such words leaves
-few traces. Fingerprints are classed by set length, and only classes that can reach a likeness are compared; within a
-comparison, lengths bound the Jaccard likeness before any signature is looked at.
+few traces. Of a document, its edited text and the next document, likeness() gives the whole Jaccard likeness.
+
+Across all documents, near_copies() links fingerprints of a likeness of NEAR_PCT or more, by the set join of ngram_join: sets are
+partitioned by ranges of set length, own and next, as likeness can't be reached beyond; signatures that stand out in a sketch
+are left out of keys, large blocks are cut into parts; and within a block, lengths and the signatures that remain bound the
+likeness before it is counted. No link is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.ngram_join import MAX_TOKENS, set_components
 from tessella.llm.textarrays import chunks, mix, small_batches, words
 from tessella.plans.shared import materialize
 
@@ -25,6 +30,8 @@ from tessella.plans.shared import materialize
 COMMON = "a an and are as at be by for from in is it of on or that the this to was with  au aux de des du elle en est et il la le les par pas pour que qui sur un une  auf das dem den der des die ein eine für im ist mit nicht sich und von zu  al con como del el en es las lo los para por que se su un una y".split()
 #: Content words of a chain.
 CHAIN = 2
+#: Fingerprints whose Jaccard likeness is so many hundredths or more are near copies.
+NEAR_PCT = 80
 TRIM = b".,;:!?\"'()"
 
 
@@ -210,3 +217,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     seams = seams.mapInArrow(partial(_seam, id_type=arrow), f"doc_id {kind}, pid int, role string, copies long, text string, {OUT}")
     columns = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
     return found.where("role = 'done'").select(*columns).unionByName(seams.select(*columns))
+
+
+# ---- fingerprints of all documents compared --------------------------------------------------------------------------
+
+
+def spread_signatures(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of every text, its signatures spread over 64 bits (a bijection), sorted."""
+    for s in signatures(texts):
+        yield np.sort(mix(s.astype(np.uint64)))
+
+
+def near_copies(docs: DataFrame, pct: int = NEAR_PCT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(doc_id, n_signatures, component_id) of every row of docs(doc_id, text, ...): fingerprints of all documents compared.
+
+    Documents link when 100 * intersection >= pct * union of their signatures, wherever they stand in the table; component_id is
+    the smallest doc_id reachable by links. Null and blank texts link with nothing; rows with a null doc_id have a null component_id.
+    """
+    return set_components(docs, spread_signatures, pct, max_tokens).withColumnRenamed("n_shingles", "n_signatures")

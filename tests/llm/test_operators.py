@@ -299,6 +299,32 @@ def test_signatures_are_anchors_with_chains():
     assert spotsigs.likeness(a, b, 0.9) == 0.0
 
 
+@pytest.mark.parametrize("most", [spotsigs.MAX_TOKENS, 40])
+def test_near_copies_are_found_wherever_they_stand(spark, most):
+    rnd = random.Random(9)
+    texts = {}
+    for i in range(60):
+        base = [rnd.choice(["the", "of", "in", f"w{rnd.randint(0, 900)}", f"w{rnd.randint(0, 900)}"]) for _ in range(rnd.randint(20, 200))]
+        for copy in range(3):
+            words_of = list(base)
+            for _ in range(copy):
+                words_of[rnd.randrange(len(base))] = f"x{rnd.randint(0, 900)}"
+            texts[i + 1000 * copy] = " ".join(words_of)
+    sets = dict(zip(texts, (set(s.tolist()) for s in spotsigs.signatures(pa.array(list(texts.values())))), strict=True))
+    up = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and len(sets[a] & sets[b]) * 100 >= spotsigs.NEAR_PCT * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+        if all(up[up[d]] == up[d] for d in up):
+            break
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_signatures, r.component_id) for r in spotsigs.near_copies(df, max_tokens=most).collect()}
+    assert got == {d: (len(sets[d]), up[d]) for d in sets}
+    assert sum(d >= 1000 and c < 1000 for d, (_, c) in got.items()) > 60
+
+
 def test_near_lengths_lie_in_neighbouring_classes():
     for least in (0.5, 0.8):
         for n in range(1, 400):
