@@ -1,8 +1,8 @@
 """Document fingerprints: SpotSigs.
 
 Method: wherever a common word stands (an anchor: articles, prepositions, conjunctions), the next content words form a chain; the
-hashes of anchor and chain are the signatures, and the set of them is the fingerprint. Boilerplate without such words leaves
-few traces. Of a document, its edited text and the next document, likeness() gives the whole Jaccard likeness.
+hashes of anchor and chain are the signatures, and the set of them is the fingerprint. Words are taken without the symbols at their
+ends. Boilerplate beside texts with such words leaves few traces; a text without any has its chains of content words instead. Of a document, its edited text and the next document, likeness() gives the whole Jaccard likeness.
 
 Across all documents, near_copies() links fingerprints of a likeness of NEAR_PCT or more, by the set join of ngram_join: sets are
 partitioned by ranges of set length, own and next, as likeness can't be reached beyond; signatures that stand out in a sketch
@@ -32,7 +32,6 @@ COMMON = "a an and are as at be by for from in is it of on or that the this to w
 CHAIN = 2
 #: Fingerprints whose Jaccard likeness is so many hundredths or more are near copies.
 NEAR_PCT = 80
-TRIM = b".,;:!?\"'()"
 
 
 def _hash_of(texts: list[str]) -> np.ndarray:
@@ -50,9 +49,12 @@ def anchors() -> np.ndarray:
 
 
 def signatures(texts: pa.Array, chain: int = CHAIN) -> Iterator[np.ndarray]:
-    """Of every text, the sorted distinct signatures. A text with words but no chain has one signature of them all."""
+    """Of every text, the sorted distinct signatures. Words count without the symbols at their ends.
+
+    A text without an anchored chain has all its chains of content words; with too few content words, one signature of all words.
+    """
     for _, data, offsets in chunks(texts):
-        hashes, _, first = words(data, offsets)
+        hashes, _, first = words(data, offsets, trim=True)
         count = len(hashes)
         common = np.isin(hashes, anchors())
         content = np.flatnonzero(~common)
@@ -73,6 +75,13 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> Iterator[np.ndarray]:
         for i in range(len(first) - 1):
             s = sig[cut[i] : cut[i + 1]]
             if not len(s) and first[i + 1] > first[i]:
+                h = hashes[first[i] : first[i + 1]][~common[first[i] : first[i + 1]]]
+                if len(h) >= chain:
+                    s = np.zeros(len(h) - chain + 1, np.uint64)
+                    for j in range(chain):
+                        s = mix(s * np.uint64(31) + h[j : len(h) - chain + 1 + j])
+                    yield np.unique((s >> np.uint64(32)).astype(np.uint32))
+                    continue
                 h = np.add.reduce(mix(hashes[first[i] : first[i + 1]] + np.arange(first[i + 1] - first[i], dtype=np.uint64)))
                 s = np.array([mix(np.array([h]))[0] >> np.uint64(32)], np.uint32)
             yield np.unique(s)

@@ -7,6 +7,7 @@ odds of about n*n/2**65 for n distinct ones.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,8 +65,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its length in bytes, index of the first word of each row and the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, trim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its length in bytes, index of the first word of each row and the end). trim: of words without symbols at their ends."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inner = ~SPACE[data]
@@ -75,6 +76,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inner & (~before | edge[:-1]))
     after = np.concatenate((inner[1:], [False]))
     ends = np.flatnonzero(inner & (~after | edge[1:])) + 1
+    if trim:
+        starts, ends = trimmed(data, starts, ends, offsets)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
     length = ends - starts
@@ -82,6 +85,39 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, length, np.searchsorted(starts, offsets)
 
 
+_symbols: list[np.ndarray] = []
+
+
+def symbol_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to symbols (Unicode punctuation and symbols)."""
+    if not _symbols:
+        _symbols.append(np.fromiter((unicodedata.category(chr(c))[0] in "PS" for c in range(0x110000)), bool, 0x110000))
+    table = _symbols[0]
+    out = table[:128][np.minimum(data, 127)] & (data < 128)
+    for low, high, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        if len(at):
+            code = data[at].astype(np.int64) & (0x7F >> size)
+            for j in range(1, size):
+                code = code << 6 | data[at + j] & 0x3F
+            at = at[table[code]]
+            for j in range(size):
+                out[at + j] = True
+    return out
+
+
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words (starts, ends) without the symbols at their ends. Words of symbols alone are dropped, unless a row has no others."""
+    core = np.flatnonzero(~symbol_bytes(data))
+    lo, hi = np.searchsorted(core, starts), np.searchsorted(core, ends)
+    full = hi > lo
+    starts, ends = starts.copy(), ends.copy()
+    starts[full], ends[full] = core[lo[full]], core[hi[full] - 1] + 1
+    row = np.searchsorted(offsets, starts, "right") - 1
+    keep = full | (np.bincount(row[full], minlength=len(offsets))[row] == 0)
+    return starts[keep], ends[keep]
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """Of each row, the sorted distinct hashes of its runs of k words; of fewer words, one hash of them all."""
     n = len(hashes)

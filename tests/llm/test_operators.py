@@ -325,6 +325,20 @@ def test_near_copies_are_found_wherever_they_stand(spark, most):
     assert sum(d >= 1000 and c < 1000 for d, (_, c) in got.items()) > 60
 
 
+def test_signatures_do_not_depend_on_symbols_at_word_ends():
+    plain, marked, wide = spotsigs.signatures(pa.array(["the house of stone wall", "the, house | OF!! (stone *wall.*", "«the» “house” — …of stone¿ 🙂wall🙂"]))
+    assert plain.tolist() == marked.tolist() == wide.tolist() and len(plain) == 2
+    inside, other = spotsigs.signatures(pa.array(["the don't know", "the dont know"]))
+    assert inside.tolist() != other.tolist()
+
+
+def test_texts_without_anchors_have_several_signatures():
+    rows = ["alpha beta gamma delta", "alpha, beta gamma epsilon", "!!! ??? ***", "", "!!! word", "word"]
+    a, b, symbols, none, c, d = spotsigs.signatures(pa.array(rows))
+    assert (len(a), len(b), len(np.intersect1d(a, b))) == (3, 3, 2)
+    assert len(symbols) > 0 and len(none) == 0 and c.tolist() == d.tolist()
+
+
 def test_near_lengths_lie_in_neighbouring_classes():
     for least in (0.5, 0.8):
         for n in range(1, 400):
