@@ -98,27 +98,28 @@ def sequence(html: str | None) -> list[dict]:
     return [{"position": i, **x} for i, x in enumerate(parser.items)]
 
 
-def sequences(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """pages' ids with their items as `items`, one row for each row."""
-    kind = pages.schema[id_column].dataType.simpleString()
+def sequences(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", carried: tuple[str, ...] = ()) -> DataFrame:
+    """pages' ids with the carried columns and their items as `items`, one row for each row."""
+    kind = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in (id_column, *carried))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "html"):
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sequence(x) for x in b.column("html").to_pylist()], pa.list_(_ITEM))], [id_column, "items"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in carried), pa.array([sequence(x) for x in b.column("html").to_pylist()], pa.list_(_ITEM))], [id_column, *carried, "items"])
 
-    return pages.select(F.col(id_column).alias("id"), F.col(html_column).cast("string").alias("html")).mapInArrow(make, f"{id_column} {kind}, items {SEQUENCE}")
+    return pages.select(F.col(id_column).alias("id"), *carried, F.col(html_column).cast("string").alias("html")).mapInArrow(make, f"{kind}, items {SEQUENCE}")
 
 
 def resolve(rows: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
-    """rows(id, items) with every media item's row of media(ref, ...) as `media`, null where there is none.
+    """rows(id, ..., items) with every media item's row of media(ref, ...) as `media`, null where there is none.
 
-    media has one row a ref at most. A row's items come together by (id, hash of items, copy number), so repeated rows and null
-    ids are kept, and items keep their order. Rows without items have an empty array.
+    media has one row a ref at most. A row's items come together by (all columns but items, hash of items, copy number), so repeated rows
+    and null ids are kept, and items keep their order. Rows without items have an empty array.
     """
     fields = [c for c in media.columns if c != "ref"]
     found = F.struct(*(F.col(c) for c in fields))
-    key = [id_column, "_h"]
-    rows = rows.select(id_column, "items", F.xxhash64(F.to_json("items")).alias("_h"))
+    whose = [id_column, *(c for c in rows.columns if c not in (id_column, "items"))]
+    key = [*whose, "_h"]
+    rows = rows.select(*whose, "items", F.xxhash64(F.to_json("items")).alias("_h"))
     # Equal rows have equal items: they are counted here and given out again.
     rows = rows.groupBy(*key).agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("_n"))
     items = rows.select(*key, "_n", F.explode_outer("items").alias("item"))
@@ -126,7 +127,7 @@ def resolve(rows: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
     items = items.withColumn("ref", F.coalesce("item.ref", F.concat_ws(":", F.lit("\0text"), "_h", "item.position")))
     joined = items.join(media.withColumn("_there", F.lit(True)), "ref", "left").select(*key, "_n", F.when(F.col("item").isNotNull(), F.struct("item.position", "item.kind", "item.text", "item.ref", "item.caption", F.when(F.col("_there"), found).alias("media"))).alias("item"))
     whole = joined.groupBy(*key, "_n").agg(F.array_sort(F.collect_list("item"), lambda x, y: x["position"] - y["position"]).alias("items"))
-    return whole.select(id_column, "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    return whole.select(*whose, "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 # ---- documents as greymaps -------------------------------------------------------------------------------------------
@@ -160,44 +161,44 @@ def _store(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(id_type), pa.array(html, pa.string()), pa.array(size, pa.int64()), pa.array(ref, pa.string()), pa.array(media, pa.binary())], ["doc_id", "html", "n_bytes", "ref", "media"])
 
 
-FEATURES = "ref string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, picture string"
+FEATURES = "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, picture string"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
     for b in small_batches(batches, "media", 4 << 20):
         rows = []
-        for ref, size, media in zip(b.column("ref").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
+        for ref, media in zip(b.column("ref").to_pylist(), b.column("media").to_pylist(), strict=True):
             digest = sha256(media).hexdigest()
             if ref != f"sha256:{digest}":
                 raise ValueError(f"the stored bytes of {ref} have changed")
             x = samples(media)
             payload = x.tobytes()
             shares = np.bincount(x.ravel() >> 5, minlength=8) * 100 // x.size
-            rows.append((ref, size, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(media), digest, f"{x.shape[1]}x{x.shape[0]} mean {int(x.sum(dtype=np.int64)) * 100 // x.size} bands {'-'.join(map(str, shares))}"))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((ref, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(media), digest, f"{x.shape[1]}x{x.shape[0]} mean {int(x.sum(dtype=np.int64)) * 100 // x.size} bands {'-'.join(map(str, shares))}"))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, items with media) of every row of docs(doc_id, text, ...): its opening words, then its text as a picture.
+    """(doc_id, n_bytes, items with media) of every row of docs(doc_id, text, ...): its opening words, then its text as a picture.
 
-    Texts are stored as greymaps in a written table and read back from it. Null text is empty, a picture of spaces.
+    n_bytes is the text's own and stays with the document: texts that differ in trailing spaces can share a padded picture. Texts are stored as greymaps in a written table and read back from it. Null text is empty, a picture of spaces.
     """
     arrow = pa.string() if docs.schema["doc_id"].dataType.simpleString() == "string" else pa.int64()
     kind = "string" if pa.types.is_string(arrow) else "long"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     table = materialize(rows.mapInArrow(partial(_store, id_type=arrow), f"doc_id {kind}, html string, n_bytes long, ref string, media binary"), "media")
     names = [x.split()[0] for x in FEATURES.split(", ") if not x.startswith("ref ")]
-    media = table.select("ref", "n_bytes", "media").mapInArrow(_features, FEATURES).groupBy("ref").agg(*(F.first(c).alias(c) for c in names))
+    media = table.select("ref", "media").mapInArrow(_features, FEATURES).groupBy("ref").agg(*(F.first(c).alias(c) for c in names))
     # As a table of its own, so that the join deals both sides anew and can split a reference that many documents share.
-    return resolve(sequences(table, "doc_id"), materialize(media, "features"), "doc_id")
+    return resolve(sequences(table, "doc_id", carried=("n_bytes",)), materialize(media, "features"), "doc_id")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row."""
     item = F.filter("items", lambda x: x["kind"] == "media")[0]
     told = F.transform("items", lambda x: F.when(x["kind"] == "text", F.concat(F.lit("text "), F.length(x["text"]))).otherwise(F.concat(F.lit("picture "), x["media"]["picture"], F.lit(" caption "), F.coalesce(F.length(x["caption"]), F.lit(0)))))
-    rows = document_media(docs).select("doc_id", item.alias("m"), F.array_join(told, " | ").alias("feature"))
-    return rows.select("doc_id", "m.media.n_bytes", "m.media.payload_bytes", "m.media.payload_sha256", "m.media.tail_crc32", "m.media.media_bytes", "m.media.media_sha256", "feature")
+    rows = document_media(docs).select("doc_id", "n_bytes", item.alias("m"), F.array_join(told, " | ").alias("feature"))
+    return rows.select("doc_id", "n_bytes", "m.media.payload_bytes", "m.media.payload_sha256", "m.media.tail_crc32", "m.media.media_bytes", "m.media.media_sha256", "feature")

@@ -89,6 +89,13 @@ def test_defined_results(spark, docs, pages, labels):
     assert all(r.score == 0.5 for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_bytes_of_texts_that_share_a_padded_picture(spark):
+    rows = [(1, ""), (2, " "), (3, "abc"), (4, "abc "), (4, "abc  "), (5, None), (None, "abc   ")]
+    out = media.media_digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in out) == sorted((str(d), len(t or "")) for d, t in rows)
+    assert len({r.media_sha256 for r in out}) == 2
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_pipeline_stages(spark, docs, labels, tmp_path, i):
     labels.write.parquet(f"file://{tmp_path}/labels.parquet")
