@@ -373,13 +373,17 @@ def trie_links(left: dict[bytes, int], right: dict[bytes, int] | None, pct: int)
     return out
 
 
-def join_bin(table: pa.Table, pct: int) -> pa.Table:
+#: From sets with ids, to be compared among themselves or with others, to links that connect what is linked.
+Join = Callable[[dict[bytes, int], dict[bytes, int] | None, int], list[tuple[int, int]]]
+
+
+def join_bin(table: pa.Table, pct: int, join: Join) -> pa.Table:
     """(block, part pair, side, doc_id, tokens) of a bin to links (a, b)."""
     blocks: dict[tuple, list[dict[bytes, int]]] = {}
     for block, pair, side, doc, tokens in zip(*(table.column(c).to_pylist() for c in ("block", "pair", "side", "doc_id", "tokens")), strict=True):
         held = blocks.setdefault((block, pair), [{}, {}])[side]
         held[tokens] = min(doc, held.get(tokens, doc))
-    links = [x for (_, _), (left, right) in blocks.items() for x in trie_links(left, right or None, pct)]
+    links = [x for (_, _), (left, right) in blocks.items() for x in join(left, right or None, pct)]
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -397,7 +401,7 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     return set_components(docs, partial(shingle_sets, k=k), pct, max_tokens)
 
 
-def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS, join: Join = trie_links) -> DataFrame:
     """ngram_components() for the sets that sets_of makes of texts; their tokens are spread evenly over 64 bits."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = materialize(docs.mapInArrow(partial(describe, sets_of=sets_of), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
@@ -428,7 +432,7 @@ def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = M
     sets = sets.select("bin", "block", F.col("part.parts").alias("parts"), F.col("part.part").alias("part"), "doc_id", "tokens").withColumn("pair", F.explode(pairs))
     sets = sets.select("bin", "block", F.when(F.col("parts") > 1, F.concat_ws("-", "pair.i", "pair.j")).otherwise("").alias("pair"), F.when(F.col("part") == F.col("pair.i"), 0).otherwise(1).alias("side"), "doc_id", "tokens", "parts")
     slot = F.when(F.col("parts") > 1, F.concat_ws("/", "block", "pair")).otherwise(F.col("bin").cast("string"))
-    links = sets.withColumn("slot", slot).drop("bin", "parts").groupBy("slot").applyInArrow(lambda t: join_bin(t, pct), "a long, b long")
+    links = sets.withColumn("slot", slot).drop("bin", "parts").groupBy("slot").applyInArrow(lambda t: join_bin(t, pct, join), "a long, b long")
     found = connected_components(links)
 
     named = classes.join(found, classes.rep == found.v, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))

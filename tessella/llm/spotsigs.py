@@ -6,8 +6,8 @@ ends. Boilerplate beside texts with such words leaves few traces; a text without
 
 Across all documents, near_copies() links fingerprints of a likeness of NEAR_PCT or more, by the set join of ngram_join: sets are
 partitioned by ranges of set length, own and next, as likeness can't be reached beyond; signatures that stand out in a sketch
-are left out of keys, large blocks are cut into parts; and within a block, lengths and the signatures that remain bound the
-likeness before it is counted. No link is lost.
+are left out of keys, large blocks are cut into parts. Within a block, an index by length class and rare signatures gives
+the fingerprints of the own and the next class to compare, and likeness() stops where NEAR_PCT is out of reach. No link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.ngram_join import MAX_TOKENS, set_components
+from tessella.llm.ngram_join import Forest, set_components
 from tessella.llm.textarrays import chunks, mix, small_batches, words
 from tessella.plans.shared import materialize
 
@@ -32,6 +32,8 @@ COMMON = "a an and are as at be by for from in is it of on or that the this to w
 CHAIN = 2
 #: Fingerprints whose Jaccard likeness is so many hundredths or more are near copies.
 NEAR_PCT = 80
+#: Signatures of a block that one task compares at once.
+MAX_TOKENS = 1_000_000
 
 
 def _hash_of(texts: list[str]) -> np.ndarray:
@@ -237,10 +239,90 @@ def spread_signatures(texts: pa.Array) -> Iterator[np.ndarray]:
         yield np.sort(mix(s.astype(np.uint64)))
 
 
+class Posting:
+    """Members of an index entry in groups that are connected, so that a probe passes over its own component in one step."""
+
+    __slots__ = ("groups",)
+
+    def __init__(self) -> None:
+        self.groups: list[list[int]] = []
+
+    def add(self, i: int) -> None:
+        self.groups.append([i])
+
+    def others(self, me: int, forest: Forest) -> Iterator[int]:
+        """Members that aren't connected with me at their turn."""
+        if len(self.groups) > 1:
+            by: dict[int, list[int]] = {}
+            for g in self.groups:
+                held = by.setdefault(forest.root(g[0]), g)
+                if held is not g:
+                    held.extend(g)
+            self.groups = list(by.values())
+        for g in self.groups:
+            for i in g:
+                if forest.root(g[0]) == forest.root(me):
+                    break
+                yield i
+
+
+def spot_links(left: dict[bytes, int], right: dict[bytes, int] | None, pct: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked among left, or between left and right. Keys are sets as big-endian bytes, values ids.
+
+    Two sets of a likeness of pct hundredths share one of their rarest n - ceil(pct * n / 100) + 1 signatures.
+    """
+    names = [*left, *(right or ())]
+    if not names:
+        return []
+    ids = [*left.values(), *(right or {}).values()]
+    sets = [np.frombuffer(b, ">u8").astype(np.uint64) for b in names]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    least = pct / 100
+    classes = [length_class(n, least) for n in sizes.tolist()]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((place, counts[place], owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = (rank < (sizes + (-pct * sizes) // 100 + 1)[owner]) & (counts[place[order]] > 1)
+    rare = place[order][kept]
+    cut = np.searchsorted(owner[kept], np.arange(len(sets) + 1))
+
+    forest, out = Forest(len(sets)), []
+    index: dict[int, dict[int, Posting]] = {}
+
+    def insert(i: int) -> None:
+        held = index.setdefault(classes[i], {})
+        for token in rare[cut[i] : cut[i + 1]].tolist():
+            held.setdefault(token, Posting()).add(i)
+
+    def probe(i: int) -> None:
+        seen: set[int] = set()
+        near = [index[c] for c in (classes[i] - 1, classes[i], classes[i] + 1) if c in index]
+        for token in rare[cut[i] : cut[i + 1]].tolist():
+            for held in near:
+                if token not in held:
+                    continue
+                for other in held[token].others(i, forest):
+                    if other not in seen:
+                        seen.add(other)
+                        # A little less, so that rounding prunes no pair that reaches it exactly.
+                        if likeness(sets[i], sets[other], least - 1e-9) >= least and forest.link(i, other):
+                            out.append((ids[i], ids[other]))
+
+    if right is not None:
+        for i in range(len(left), len(sets)):
+            insert(i)
+    for i in np.argsort(sizes[: len(left)], kind="stable").tolist():
+        probe(i)
+        if right is None:
+            insert(i)
+    return out
+
+
 def near_copies(docs: DataFrame, pct: int = NEAR_PCT, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, n_signatures, component_id) of every row of docs(doc_id, text, ...): fingerprints of all documents compared.
 
     Documents link when 100 * intersection >= pct * union of their signatures, wherever they stand in the table; component_id is
     the smallest doc_id reachable by links. Null and blank texts link with nothing; rows with a null doc_id have a null component_id.
     """
-    return set_components(docs, spread_signatures, pct, max_tokens).withColumnRenamed("n_shingles", "n_signatures")
+    return set_components(docs, spread_signatures, pct, max_tokens, spot_links).withColumnRenamed("n_shingles", "n_signatures")
