@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textarrays import small_batches
+from tessella.llm.textarrays import KEPT, bounded, released, small_batches
 
 #: Fixed value: the pattern by which byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of one generation that a worker keeps; there are two.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 #: Bytes of a column that are turned into lists of ids, or back, at once.
 ID_BATCH_BYTES = 1 << 20
 #: Longer words are not kept.
@@ -172,6 +172,10 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+KEPT["tokenizers"] = tokenizer.cache_clear
+
+
+@released("tokenizers")
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = tokenizer(path)
     for batch in small_batches(batches, "text", 4 << 20):
@@ -179,30 +183,40 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[pa.RecordBatch]:
+@released("tokenizers")
+def _coded(batches: Iterator[pa.RecordBatch], path: str, column: str, ids: str | None, decoded: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows with a column of ids of the texts in `column`, one of decoded texts, or both; without `ids`, `column` holds ids."""
     t = tokenizer(path)
     for batch in small_batches(batches, column, ID_BATCH_BYTES):
-        yield batch.append_column("ids", pa.array([t.encode(x or "") for x in batch.column(column).to_pylist()], pa.list_(pa.int32())))
+        held = batch.column(column).to_pylist()
+        if ids:
+            held = [t.encode(x or "") for x in held]
+            batch = batch.append_column(ids, pa.array(held, pa.list_(pa.int32())))
+        if decoded:
+            batch = batch.append_column(decoded, pa.array([t.decode(x or []) for x in held], pa.string()))
+        yield batch
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, column: str) -> Iterator[pa.RecordBatch]:
-    t = tokenizer(path)
-    for batch in small_batches(batches, column, ID_BATCH_BYTES):
-        yield batch.append_column("decoded", pa.array([t.decode(x or []) for x in batch.column(column).to_pylist()], pa.string()))
+def _with(rows: DataFrame, vocabulary: str | None, column: str, ids: str | None, decoded: str | None) -> DataFrame:
+    made = {name: kind for name, kind in ((ids, "array<int>"), (decoded, "string")) if name}
+    rows = bounded(rows.drop(*made))
+    schema = rows.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in made.items())).schema
+    return rows.mapInArrow(partial(_coded, path=vocabulary or default_vocabulary(), column=column, ids=ids, decoded=decoded), schema)
 
 
 def encode(docs: DataFrame, column: str = "text", vocabulary: str | None = None) -> DataFrame:
     """docs with the token ids of a text column as `ids` (a column of that name is replaced). Null text: no ids."""
-    docs = docs.drop("ids")
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
-    return docs.mapInArrow(partial(_encoded, path=vocabulary or default_vocabulary(), column=column), schema)
+    return _with(docs, vocabulary, column, "ids", None)
 
 
 def decode(ids: DataFrame, column: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """ids with the text of a column of token ids as `decoded` (a column of that name is replaced)."""
-    ids = ids.drop("decoded")
-    schema = ids.select("*", F.lit(None).cast("string").alias("decoded")).schema
-    return ids.mapInArrow(partial(_decoded, path=vocabulary or default_vocabulary(), column=column), schema)
+    """ids with the text of a column of token ids as `decoded` (a column of that name is replaced). Null: an empty text."""
+    return _with(ids, vocabulary, column, None, "decoded")
+
+
+def encode_and_decode(docs: DataFrame, column: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """decode(encode(docs)), by one worker instead of two in a row."""
+    return _with(docs, vocabulary, column, "ids", "decoded")
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -210,6 +224,6 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Null and empty texts have no tokens. Repeated rows give repeated results; other columns are ignored.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.mapInArrow(partial(_digests, path=vocabulary or default_vocabulary()), schema)

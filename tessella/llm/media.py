@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textarrays import small_batches
+from tessella.llm.textarrays import bounded, released, small_batches
 from tessella.plans.shared import materialize
 
 WIDTH = 192
@@ -102,11 +102,12 @@ def sequences(pages: DataFrame, id_column: str = "page_id", html_column: str = "
     """pages' ids with the carried columns and their items as `items`, one row for each row."""
     kind = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in (id_column, *carried))
 
+    @released()
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "html"):
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in carried), pa.array([sequence(x) for x in b.column("html").to_pylist()], pa.list_(_ITEM))], [id_column, *carried, "items"])
 
-    return pages.select(F.col(id_column).alias("id"), *carried, F.col(html_column).cast("string").alias("html")).mapInArrow(make, f"{kind}, items {SEQUENCE}")
+    return bounded(pages).select(F.col(id_column).alias("id"), *carried, F.col(html_column).cast("string").alias("html")).mapInArrow(make, f"{kind}, items {SEQUENCE}")
 
 
 def resolve(rows: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
@@ -147,6 +148,7 @@ def samples(media: bytes) -> np.ndarray:
     return flat.reshape(int(head[2]), int(head[1]))
 
 
+@released()
 def _store(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches, "text", 4 << 20):
         rows = []
@@ -164,6 +166,7 @@ def _store(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
 FEATURES = "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, picture string"
 
 
+@released()
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
     for b in small_batches(batches, "media", 4 << 20):
@@ -188,7 +191,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     """
     arrow = pa.string() if docs.schema["doc_id"].dataType.simpleString() == "string" else pa.int64()
     kind = "string" if pa.types.is_string(arrow) else "long"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     table = materialize(rows.mapInArrow(partial(_store, id_type=arrow), f"doc_id {kind}, html string, n_bytes long, ref string, media binary"), "media")
     names = [x.split()[0] for x in FEATURES.split(", ") if not x.startswith("ref ")]
     media = table.select("ref", "media").mapInArrow(_features, FEATURES).groupBy("ref").agg(*(F.first(c).alias(c) for c in names))

@@ -28,17 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.graph import connected_components
-from tessella.llm.textarrays import mix, shingle_sets, small_batches
+from tessella.llm.textarrays import add_in_tree, bounded, give_back, mix, released, shingle_sets, small_batches
 from tessella.plans.shared import materialize
 
 #: Tokens of a block that one task joins at once.
-MAX_TOKENS = 4_000_000
+MAX_TOKENS = 2_000_000
+#: Keys that a task combines before it passes them on.
+HELD_KEYS = 500_000
+#: Different sets that a task remembers, so that of equal ones only the first posts its keys.
+SEEN_SETS = 100_000
 #: Postings (6 bytes and a share of an id each) of a bucket.
 BUCKET_POSTINGS = 1_500_000
 #: Rows up to which the members of blocks are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A sketch of 2**SKETCH_BITS counters, of a fixed size, counts in how many different sets the tokens occur.
+#: A sketch of 2**SKETCH_BITS counters counts in how many sets the tokens occur. Its size sets what is cheap, never what is found:
+#: 20 bits tell passages apart in some 10**9 tokens; at 100 TB take 24 (64 MB a task, 2 MB for the driver).
 SKETCH_BITS = 20
+#: The sketch is added up in slices of 2**SLICE_BITS counters.
+SLICE_BITS = 16
 #: Up to this many differing tokens, sets less some tokens are the keys.
 FEW = 2
 
@@ -87,7 +94,7 @@ def keys_of(tokens: np.ndarray, pct: int, ranges: dict, hot: np.ndarray | None =
         ranges[n] = size_ranges(n, pct)
     level, high, higher = ranges[n]
     mixed = mix(tokens)
-    cool = ~hot[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] if hot is not None else np.ones(n, bool)
+    cool = ~hot[(tokens >> np.uint64(65 - len(hot).bit_length())).astype(np.int64)] if hot is not None else np.ones(n, bool)
     out = []
     for at, most in ((level, high), (level + 1, higher)):
         d = spread(most, most, pct)
@@ -145,55 +152,65 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---- tasks -----------------------------------------------------------------------------------------------------------
 
 
-def describe(batches: Iterator[pa.RecordBatch], sets_of: Sets) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, d1, d2, null), and at the end one row with the task's counters."""
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    id_type = pa.int64()
+@released()
+def describe(batches: Iterator[pa.RecordBatch], sets_of: Sets, bits: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n_shingles, d1, d2, at, slice, counters), and at the end one row for each slice of the task's counters."""
+    from pyspark import TaskContext
 
-    def rows(ids: pa.Array, sizes: list, d1: list, d2: list, counters: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(counters, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "counters"])
+    counts = np.zeros(1 << bits, np.uint32)
+
+    def rows(ids: pa.Array, sizes: list, d1: list, d2: list, at: list, slices: list, counters: list) -> pa.RecordBatch:
+        whole = [pa.array(x, pa.int64()) for x in (sizes, d1, d2, at, slices)]
+        return pa.RecordBatch.from_arrays([ids, *whole, pa.array(counters, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "at", "slice", "counters"])
 
     for batch in small_batches(batches, "text"):
         sets = list(sets_of(batch.column("text")))
         both = [digest(s) for s in sets]
         if some := [s for s in sets if len(s)]:
-            counts += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield rows(batch.column("doc_id"), [len(s) for s in sets], [x for x, _ in both], [y for _, y in both], [None] * len(sets))
+            np.add.at(counts, (np.concatenate(some) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        none = [None] * len(sets)
+        yield rows(batch.column("doc_id"), [len(s) for s in sets], [x for x, _ in both], [y for _, y in both], none, none, none)
     if counts.any():
-        yield rows(pa.nulls(1, id_type), [None], [None], [None], [counts.tobytes()])
+        pieces = counts.reshape(-1, 1 << min(bits, SLICE_BITS))
+        none, n = [None] * len(pieces), len(pieces)
+        yield rows(pa.nulls(n, pa.int64()), none, none, none, [TaskContext.get().partitionId()] * n, list(range(n)), [x.tobytes() for x in pieces])
 
 
 def add_counters(parts: pa.ChunkedArray) -> np.ndarray:
-    """The sum of counters, a small share of which is held at once."""
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    """The sum of the counters of one slice, as 64-bit numbers."""
+    total = 0
     for x in parts:
-        counts = np.frombuffer(x.as_buffer(), np.uint8)
-        total += counts.view(np.uint32 if len(counts) == 4 << SKETCH_BITS else np.uint64)
+        counts = np.frombuffer(x.as_buffer(), np.uint32)
+        total = total + counts.astype(np.uint64)
     return total
 
 
-def hot_tokens(sizes: DataFrame) -> bytes:
-    """Which counters stand out, far above the median, as packed bits: 128 KB that the driver passes on, whatever the input."""
+def hot_tokens(parts: DataFrame, bits: int) -> bytes:
+    """Which counters of parts(at, slice, counters) stand out, far above their slice's median, as packed bits; a bit a counter comes to the driver, whatever the input.
+
+    Counters of 32 bits that would overflow stay at their most.
+    """
 
-    def part(t: pa.Table) -> pa.Table:
-        return pa.table({"counters": pa.array([add_counters(t.column("counters")).tobytes()], pa.binary())})
+    def add(t: pa.Table) -> pa.Table:
+        total = np.minimum(add_counters(t.column("counters")), np.uint64((1 << 32) - 1)).astype(np.uint32)
+        return pa.table({"counters": pa.array([total.tobytes()], pa.binary())})
 
-    def bits(t: pa.Table) -> pa.Table:
+    def stand_out(key: tuple, t: pa.Table) -> pa.Table:
         total = add_counters(t.column("counters")).astype(float)
         middle = float(np.median(total))
-        return pa.table({"hot": pa.array([np.packbits(total > middle + 6 * middle**0.5 + 16).tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "hot": pa.array([np.packbits(total > middle + 6 * middle**0.5 + 16).tobytes()], pa.binary())})
 
-    counters = sizes.where("counters IS NOT NULL").select("counters", F.pmod(F.xxhash64("counters"), F.lit(8)).alias("slot"))
-    sums = counters.groupBy("slot").applyInArrow(lambda t: part(t), "counters binary")
-    found = sums.withColumn("slot", F.lit(0)).groupBy("slot").applyInArrow(lambda t: bits(t), "hot binary").collect()
-    return bytes(found[0]["hot"]) if found else bytes((1 << SKETCH_BITS) // 8)
+    sums = add_in_tree(parts, add, "counters binary", "slice")
+    found = sums.groupBy("slice").applyInArrow(stand_out, "slice long, hot binary").collect()
+    return b"".join(bytes(r["hot"]) for r in sorted(found, key=lambda r: r["slice"])) or bytes((1 << bits) // 8)
 
 
+@released()
 def post(batches: Iterator[pa.RecordBatch], sets_of: Sets, pct: int, buckets: int, hot: bytes) -> Iterator[pa.RecordBatch]:
     """(text) to (bucket, ids, number of keys of each, keys, links) of the different sets, with one id for each key of a batch."""
     ranges: dict = {}
     seen: set[int] = set()
-    above = np.unpackbits(np.frombuffer(hot, np.uint8)).astype(bool)
+    above = np.unpackbits(np.frombuffer(hot, np.uint8)).view(bool)
 
     def packed(keys: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
         held = np.concatenate(keys)
@@ -202,15 +219,16 @@ def post(batches: Iterator[pa.RecordBatch], sets_of: Sets, pct: int, buckets: in
         # The bucket is taken from mixed bits; in a bucket, 48 bits tell keys apart (a chance match is only one more candidate).
         where = (mix(key) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((least, where))
-        key, least = key[order], least[order]
-        cut = np.searchsorted(where[order], np.arange(buckets + 1))
-        spot = links[:, 0] % buckets if len(links) else np.zeros(0, np.int64)
+        key, least, where = key[order], least[order], where[order]
+        spot = links[:, 0] % buckets
+        order = np.argsort(spot, kind="stable")
+        links, spot = links[order], spot[order]
+        there = np.union1d(where, spot)
         rows = []
-        for b in range(buckets):
-            own, also = slice(cut[b], cut[b + 1]), links[spot == b]
-            if cut[b + 1] > cut[b] or len(also):
-                who, counts = runs(least[own])
-                rows.append((b, who.tobytes(), counts.tobytes(), key[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), also.tobytes()))
+        for b in there.tolist():
+            own, also = slice(*np.searchsorted(where, (b, b + 1))), links[slice(*np.searchsorted(spot, (b, b + 1)))]
+            who, counts = runs(least[own])
+            rows.append((b, who.tobytes(), counts.tobytes(), key[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), also.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["bucket", "ids", "counts", "keys", "links"])
 
     keys: list[np.ndarray] = []
@@ -223,7 +241,7 @@ def post(batches: Iterator[pa.RecordBatch], sets_of: Sets, pct: int, buckets: in
             who = digest(s)[0]
             if who in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) >= SEEN_SETS:
                 seen.clear()
             seen.add(who)
             own = keys_of(s, pct, ranges, above)
@@ -231,7 +249,7 @@ def post(batches: Iterator[pa.RecordBatch], sets_of: Sets, pct: int, buckets: in
                 keys.append(own)
                 ids.append(who)
                 held += len(own)
-            if held > 2_000_000:
+            if held >= HELD_KEYS:
                 yield packed(keys, ids)
                 keys, ids, held = [], [], 0
     if keys:
@@ -250,6 +268,7 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+@released()
 def collect_sets(batches: Iterator[pa.RecordBatch], sets_of: Sets) -> Iterator[pa.RecordBatch]:
     """(bin, block, part, doc_id, text) with the text's set in its place."""
     for batch in small_batches(batches, "text"):
@@ -260,12 +279,12 @@ def collect_sets(batches: Iterator[pa.RecordBatch], sets_of: Sets) -> Iterator[p
 class Trie:
     """Sorted sets as a compressed prefix tree: a node holds the tokens that all sets below it have next."""
 
-    __slots__ = ("sets", "tokens", "start", "end", "children", "least", "most", "member", "same")
+    __slots__ = ("sets", "tokens", "start", "end", "children", "first", "last", "least", "most", "member", "same")
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         """sets: distinct, in lexicographic order."""
         self.sets = sets
-        self.start, self.end, self.children, self.least, self.most, self.member, self.same, self.tokens = [], [], [], [], [], [], [], []
+        self.start, self.end, self.children, self.first, self.last, self.least, self.most, self.member, self.same, self.tokens = ([] for _ in range(10))
         shared = [self._common(a, b) for a, b in zip(sets[:-1], sets[1:], strict=True)]
         self._grow(0, len(sets), 0, shared)
 
@@ -281,6 +300,8 @@ class Trie:
         self.start.append(start)
         self.end.append(end)
         self.children.append([])
+        self.first.append(lo)
+        self.last.append(hi)
         self.least.append(min(sizes))
         self.most.append(max(sizes))
         self.member.append(lo if hi == lo + 1 else -1)
@@ -322,10 +343,14 @@ class Forest:
         return i != j
 
 
-def walk(trie: Trie, probe: np.ndarray, me: int, forest: Forest, pct: int) -> Iterator[int]:
-    """Members of the trie that the probe links with and that weren't yet connected with it."""
+def walk(trie: Trie, probe: np.ndarray, me: int, forest: Forest, pct: int, tops: set[int]) -> Iterator[int]:
+    """Members of the trie, below the given children of the root, that the probe links with and that weren't yet connected with it."""
     n = len(probe)
-    todo = [(0, 0, 0, False)]
+    # What all sets share is read once; a trie of one set is its root.
+    root = trie.tokens[0] if trie.children[0] else trie.tokens[0][:0]
+    at = int(np.searchsorted(probe, root[-1], "right")) if len(root) else 0
+    shared = int(np.isin(root, probe).sum()) if len(root) else 0
+    todo = [(top, at, shared, False) for top in tops]
     while todo:
         node, at, overlap, back = todo.pop()
         if back:  # all below have been seen: note whether they are one component now
@@ -356,20 +381,44 @@ def walk(trie: Trie, probe: np.ndarray, me: int, forest: Forest, pct: int) -> It
         todo.extend((c, at, overlap, False) for c in trie.children[node])
 
 
+def rare_tokens(sets: list[np.ndarray], pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens as numbers, where each set's begin and the end): of each set its rarest n - ceil(pct * n / 100) + 1, without those that no other has.
+
+    Two sets that link share pct hundredths of the larger at least, so they have one of these in common.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((place, counts[place], owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = (rank < (sizes + (-pct * sizes) // 100 + 1)[owner]) & (counts[place[order]] > 1)
+    return place[order][kept], np.searchsorted(owner[kept], np.arange(len(sets) + 1))
+
+
 def trie_links(left: dict[bytes, int], right: dict[bytes, int] | None, pct: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among left, or between left and right: a spanning forest. Values are ids."""
+    """Links that connect what is linked among left, or between left and right: a spanning forest. Values are ids.
+
+    A probe enters only those branches at the trie's top below which a set has one of its rare tokens.
+    """
     both = right if right is not None else left
     names = sorted(both)
-    sets = [np.frombuffer(b, ">u8").astype(np.uint64) for b in names]
-    if not sets:
+    if not names:
         return []
-    trie, out = Trie(sets), []
-    probes = [(b, i) for i, b in enumerate(names)] if right is None else [(b, len(names) + i) for i, b in enumerate(sorted(left))]
-    forest = Forest(len(names) + len(probes) * (right is not None))
-    for b, me in probes:
-        for other in walk(trie, np.frombuffer(b, ">u8").astype(np.uint64), me, forest, pct):
+    apart = right is not None
+    probes = sorted(left) if apart else names
+    sets = [np.frombuffer(b, ">u8").astype(np.uint64) for b in (names + probes if apart else names)]
+    trie, out = Trie(sets[: len(names)]), []
+    rare, cut = rare_tokens(sets, pct)
+    branches: dict[int, set[int]] = {}
+    for top in trie.children[0] or [0]:
+        for token in set(rare[cut[trie.first[top]] : cut[trie.last[top]]].tolist()):
+            branches.setdefault(token, set()).add(top)
+    forest = Forest(len(sets))
+    for me, name in enumerate(probes, len(names) if apart else 0):
+        tops = set().union(*(branches.get(t, ()) for t in rare[cut[me] : cut[me + 1]].tolist()))
+        for other in walk(trie, sets[me], me, forest, pct, tops):
             if forest.link(me, other):
-                out.append((left[b], both[names[other]]))
+                out.append((left[name], both[names[other]]))
     return out
 
 
@@ -380,34 +429,45 @@ Join = Callable[[dict[bytes, int], dict[bytes, int] | None, int], list[tuple[int
 def join_bin(table: pa.Table, pct: int, join: Join) -> pa.Table:
     """(block, part pair, side, doc_id, tokens) of a bin to links (a, b)."""
     blocks: dict[tuple, list[dict[bytes, int]]] = {}
-    for block, pair, side, doc, tokens in zip(*(table.column(c).to_pylist() for c in ("block", "pair", "side", "doc_id", "tokens")), strict=True):
-        held = blocks.setdefault((block, pair), [{}, {}])[side]
-        held[tokens] = min(doc, held.get(tokens, doc))
-    links = [x for (_, _), (left, right) in blocks.items() for x in join(left, right or None, pct)]
+    for batch in table.to_batches(max_chunksize=1000):
+        for block, pair, side, doc, tokens in zip(*(batch.column(c).to_pylist() for c in ("block", "pair", "side", "doc_id", "tokens")), strict=True):
+            held = blocks.setdefault((block, pair), [{}, {}])[side]
+            held[tokens] = min(doc, held.get(tokens, doc))
+    links: list[tuple[int, int]] = []
+    while blocks:
+        left, right = blocks.popitem()[1]
+        links += join(left, right or None, pct)
+    if table.nbytes > 1 << 20:
+        give_back()
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
 
 
-def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int = MAX_TOKENS, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text, ...).
 
     Two documents link when 100 * intersection >= pct * union of their sets of k-word shingles; component_id is the
     smallest doc_id that is reachable by links. Null or blank texts have an empty set and link with nothing. Rows with a
-    null doc_id have a null component_id and link nothing. Rows that share a doc_id are one vertex with several
-    texts. Other columns are ignored; an empty table gives an empty result.
+    null doc_id have a null component_id and link nothing. Rows that share a doc_id are one vertex, which links by each of its
+    texts. doc_id is a whole number (what casts to long). Other columns are ignored; an empty table gives an empty result.
     """
-    return set_components(docs, partial(shingle_sets, k=k), pct, max_tokens)
+    return set_components(docs, partial(shingle_sets, k=k), pct, max_tokens, bits=bits)
 
 
-def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS, join: Join = trie_links) -> DataFrame:
+def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS, join: Join = trie_links, bits: int = SKETCH_BITS) -> DataFrame:
     """ngram_components() for the sets that sets_of makes of texts; their tokens are spread evenly over 64 bits."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(docs.mapInArrow(partial(describe, sets_of=sets_of), "doc_id long, n_shingles long, d1 long, d2 long, counters binary"), "sizes")
-    hot = hot_tokens(sizes)
-    sizes = sizes.where("counters IS NULL").drop("counters")
-    classes = materialize(sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    described = materialize(docs.mapInArrow(partial(describe, sets_of=sets_of, bits=bits), "doc_id long, n_shingles long, d1 long, d2 long, at long, slice long, counters binary"), "sizes")
+    hot = hot_tokens(described.where("counters IS NOT NULL").select("at", "slice", "counters"), bits)
+    sizes = described.where("counters IS NULL").select("doc_id", "n_shingles", "d1", "d2")
+    vertices = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = materialize(vertices.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    # Ids with several texts: their sets' classes are linked. (Two numbers an id are compared; most tables have none.)
+    twice = vertices.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("doc_id")
+    several = vertices.join(twice, "doc_id", "left_semi").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", F.col("rep").alias("v")).distinct()
+    same_id = materialize(several.where("doc_id <> v").select(F.col("doc_id").alias("a"), F.col("v").alias("b")), "same")
 
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(8, int(total * 5 * (100 - pct) / (100 + pct)) // BUCKET_POSTINGS + 1)
@@ -433,10 +493,9 @@ def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = M
     sets = sets.select("bin", "block", F.when(F.col("parts") > 1, F.concat_ws("-", "pair.i", "pair.j")).otherwise("").alias("pair"), F.when(F.col("part") == F.col("pair.i"), 0).otherwise(1).alias("side"), "doc_id", "tokens", "parts")
     slot = F.when(F.col("parts") > 1, F.concat_ws("/", "block", "pair")).otherwise(F.col("bin").cast("string"))
     links = sets.withColumn("slot", slot).drop("bin", "parts").groupBy("slot").applyInArrow(lambda t: join_bin(t, pct, join), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(links.union(same_id))
 
     named = classes.join(found, classes.rep == found.v, "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    # Rows with one doc_id and several texts are one vertex.
     # A table of its own, so that the join deals both sides anew and can split a class with many copies.
     several = materialize(named.groupBy("n_shingles", "d1", "d2").agg(F.min("component_id").alias("component_id")), "classes")
     keys = ["n_shingles", "d1", "d2"]

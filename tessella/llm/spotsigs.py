@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.ngram_join import Forest, set_components
-from tessella.llm.textarrays import chunks, mix, small_batches, words
+from tessella.llm.ngram_join import Forest, rare_tokens, set_components
+from tessella.llm.textarrays import bounded, chunks, mix, released, small_batches, words
 from tessella.plans.shared import materialize
 
 #: Anchors, in four languages; also left out of chains.
@@ -159,6 +159,7 @@ def ends(first: Row, last: Row, pid: int, id_type: pa.DataType) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in two], id_type), pa.array([pid, pid], pa.int32()), pa.array(["first", "last"], pa.string()), pa.array([r.copies for r in two], pa.int64()), pa.array([r.text for r in two], pa.string()), *none], NAMES)
 
 
+@released()
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the shuffle."""
     press = zstandard.ZstdCompressor(level=3, write_checksum=False)
@@ -167,6 +168,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), packed], ["doc_id", "h", "packed"])
 
 
+@released()
 def _stream(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Sorted rows of a range to results; the range's first and last rows come out as they are."""
     from pyspark import TaskContext
@@ -193,6 +195,7 @@ def _stream(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator
         yield ends(first, held, pid, id_type)
 
 
+@released()
 def _seam(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """(doc_id, copies, text, next_text) of the rows at the ends of ranges to results."""
     for batch in small_batches(batches, "text", 2 << 20):
@@ -214,7 +217,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow = pa.string() if id_type == "string" else pa.int64()
-    rows = docs.select(F.col("doc_id") if id_type == "string" else F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col("doc_id") if id_type == "string" else F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     kind = "string" if id_type == "string" else "long"
     rows = rows.withColumn("h", F.xxhash64("text")).mapInArrow(_pack, f"doc_id {kind}, h long, packed binary")
@@ -279,14 +282,7 @@ def spot_links(left: dict[bytes, int], right: dict[bytes, int] | None, pct: int)
     sizes = np.array([len(s) for s in sets], np.int64)
     least = pct / 100
     classes = [length_class(n, least) for n in sizes.tolist()]
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((place, counts[place], owner))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = (rank < (sizes + (-pct * sizes) // 100 + 1)[owner]) & (counts[place[order]] > 1)
-    rare = place[order][kept]
-    cut = np.searchsorted(owner[kept], np.arange(len(sets) + 1))
-
+    rare, cut = rare_tokens(sets, pct)
     forest, out = Forest(len(sets)), []
     index: dict[int, dict[int, Posting]] = {}
 

@@ -7,11 +7,17 @@ odds of about n*n/2**65 for n distinct ones.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.plans.shared import materialize
 
 #: Bytes of text that are turned into arrays at once. A longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -25,6 +31,79 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
+#: What reused Python workers keep from task to task, by name, and how it is dropped.
+KEPT: dict[str, Callable[[], None]] = {"powers": _powers.clear}
+#: Rows and bytes of an Arrow batch between the JVM and Python, unless the session sets its own.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small: batches of 10,000 documents would be held by the JVM and by Python at once."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        for name, value in ARROW_LIMITS.items():
+            conf.set(name, value)
+    return df
+
+
+def released(*keeps: str) -> Callable:
+    """For tasks (batches, ...) -> batches in reused workers: what others have kept goes at the start, unless named; freed memory goes back at the end."""
+
+    def deco(task: Callable) -> Callable:
+        @wraps(task)
+        def run(*args, **named) -> Iterator[pa.RecordBatch]:
+            drop_kept(keeps)
+            try:
+                yield from task(*args, **named)
+            finally:
+                give_back()
+
+        return run
+
+    return deco
+
+
+def drop_kept(keeps: tuple[str, ...]) -> None:
+    for name, drop in KEPT.items():
+        if name not in keeps:
+            drop()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: the allocators of Arrow and of C keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+#: Partial results that one task adds up.
+FAN_IN = 16
+
+
+def add_in_tree(parts: DataFrame, add: Callable[[pa.Table], pa.Table], schema: str, *by: str) -> DataFrame:
+    """FAN_IN sums at most of parts(at, *by, ...) for each value of `by`. at: numbers of tasks; add: from rows of a group to one row of the schema.
+
+    A tree of bounded fan-in: no task reads more than FAN_IN rows, however many tasks there were.
+    """
+    parts = materialize(parts, "parts")
+    most = parts.agg(F.max("at").alias("n")).first()["n"] or 0
+    while most >= FAN_IN:
+        parts = parts.withColumn("at", F.floor(F.col("at") / FAN_IN))
+        keys = ["at", *by]
+
+        def sums(key: tuple, t: pa.Table) -> pa.Table:
+            out = add(t)
+            for name, value in zip(keys, key, strict=True):
+                out = out.append_column(name, pa.array([value.as_py()], pa.int64()))
+            return out.select(["at", *by, *add_columns])
+
+        add_columns = [x.split()[0] for x in schema.split(", ")]
+        parts = materialize(parts.groupBy(*keys).applyInArrow(sums, ", ".join([*(f"{k} long" for k in keys), schema])), "parts")
+        most //= FAN_IN
+    return parts
+
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64."""
