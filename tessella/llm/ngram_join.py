@@ -18,12 +18,14 @@ into parts whose pairs are joined apart.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from tessella.llm.textarrays import add_in_tree, bounded, give_back, mix, releas
 from tessella.plans.shared import materialize
 
 #: Tokens of a block that one task joins at once.
-MAX_TOKENS = 2_000_000
+MAX_TOKENS = 4_000_000
 #: Keys that a task combines before it passes them on.
 HELD_KEYS = 500_000
 #: Different sets that a task remembers, so that of equal ones only the first posts its keys.
@@ -41,9 +43,9 @@ SEEN_SETS = 100_000
 BUCKET_POSTINGS = 1_500_000
 #: Rows up to which the members of blocks are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: A sketch of 2**SKETCH_BITS counters counts in how many sets the tokens occur. Its size sets what is cheap, never what is found:
-#: 20 bits tell passages apart in some 10**9 tokens; at 100 TB take 24 (64 MB a task, 2 MB for the driver).
-SKETCH_BITS = 20
+#: A sketch of counters counts in how many sets the tokens occur: one for each SKETCH_SHARE bytes of input, 2**18 to 2**24 (64 MB a task).
+#: Its size sets what is cheap, never what is found.
+SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST = 96, 18, 24
 #: The sketch is added up in slices of 2**SLICE_BITS counters.
 SLICE_BITS = 16
 #: Up to this many differing tokens, sets less some tokens are the keys.
@@ -171,20 +173,26 @@ def describe(batches: Iterator[pa.RecordBatch], sets_of: Sets, bits: int) -> Ite
         none = [None] * len(sets)
         yield rows(batch.column("doc_id"), [len(s) for s in sets], [x for x, _ in both], [y for _, y in both], none, none, none)
     if counts.any():
-        pieces = counts.reshape(-1, 1 << min(bits, SLICE_BITS))
-        none, n = [None] * len(pieces), len(pieces)
-        yield rows(pa.nulls(n, pa.int64()), none, none, none, [TaskContext.get().partitionId()] * n, list(range(n)), [x.tobytes() for x in pieces])
+        pieces, none, press = counts.reshape(-1, 1 << min(bits, SLICE_BITS)), [None], zstandard.ZstdCompressor(level=1)
+        for i, x in enumerate(pieces):
+            yield rows(pa.nulls(1, pa.int64()), none, none, none, [TaskContext.get().partitionId()], [i], [press.compress(x.tobytes())])
 
 
 def add_counters(parts: pa.ChunkedArray) -> np.ndarray:
     """The sum of the counters of one slice, as 64-bit numbers."""
-    total = 0
+    total, unpack = 0, zstandard.ZstdDecompressor()
     for x in parts:
-        counts = np.frombuffer(x.as_buffer(), np.uint32)
-        total = total + counts.astype(np.uint64)
+        total = total + np.frombuffer(unpack.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
     return total
 
 
+def sketch_bits(docs: DataFrame) -> int:
+    """Of the sketch for docs, by the optimizer's estimate of their size (unknown: as for 100 MB)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 60 else 100_000_000
+    return min(SKETCH_MOST, max(SKETCH_LEAST, math.ceil(math.log2(max(1, size) / SKETCH_SHARE))))
+
+
 def hot_tokens(parts: DataFrame, bits: int) -> bytes:
     """Which counters of parts(at, slice, counters) stand out, far above their slice's median, as packed bits; a bit a counter comes to the driver, whatever the input.
 
@@ -193,12 +201,12 @@ def hot_tokens(parts: DataFrame, bits: int) -> bytes:
 
     def add(t: pa.Table) -> pa.Table:
         total = np.minimum(add_counters(t.column("counters")), np.uint64((1 << 32) - 1)).astype(np.uint32)
-        return pa.table({"counters": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"counters": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
     def stand_out(key: tuple, t: pa.Table) -> pa.Table:
         total = add_counters(t.column("counters")).astype(float)
         middle = float(np.median(total))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "hot": pa.array([np.packbits(total > middle + 6 * middle**0.5 + 16).tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "hot": pa.array([np.packbits(total > middle + 6 * middle**0.5 + 8).tobytes()], pa.binary())})
 
     sums = add_in_tree(parts, add, "counters binary", "slice")
     found = sums.groupBy("slice").applyInArrow(stand_out, "slice long, hot binary").collect()
@@ -445,7 +453,7 @@ def join_bin(table: pa.Table, pct: int, join: Join) -> pa.Table:
 # ---- the operator ----------------------------------------------------------------------------------------------------
 
 
-def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int = MAX_TOKENS, bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int = MAX_TOKENS, bits: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text, ...).
 
     Two documents link when 100 * intersection >= pct * union of their sets of k-word shingles; component_id is the
@@ -456,8 +464,9 @@ def ngram_components(docs: DataFrame, k: int = 5, pct: int = 80, max_tokens: int
     return set_components(docs, partial(shingle_sets, k=k), pct, max_tokens, bits=bits)
 
 
-def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS, join: Join = trie_links, bits: int = SKETCH_BITS) -> DataFrame:
+def set_components(docs: DataFrame, sets_of: Sets, pct: int, max_tokens: int = MAX_TOKENS, join: Join = trie_links, bits: int | None = None) -> DataFrame:
     """ngram_components() for the sets that sets_of makes of texts; their tokens are spread evenly over 64 bits."""
+    bits = bits or sketch_bits(docs)
     docs = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     described = materialize(docs.mapInArrow(partial(describe, sets_of=sets_of, bits=bits), "doc_id long, n_shingles long, d1 long, d2 long, at long, slice long, counters binary"), "sizes")
     hot = hot_tokens(described.where("counters IS NOT NULL").select("at", "slice", "counters"), bits)

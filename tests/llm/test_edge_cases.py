@@ -103,5 +103,9 @@ def test_pipeline_stages(spark, docs, labels, tmp_path, i):
     out = stage(spark, docs, f"file://{tmp_path}")
     if i < 4:
         assert out.columns == corpus_pipeline.COLUMNS
-    out.collect()
+    rows = out.collect()
+    if name.startswith("mixing"):  # rows with and without an id are drawn, blank texts never
+        assert {r.doc_id for r in rows} >= {0, 4, None} and all((r.text or "").strip() for r in rows)
+    elif i >= 2:
+        assert sum(r.doc_id is None for r in rows) == 2
     assert stage(spark, docs.limit(0), f"file://{tmp_path}").collect() == []

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -161,12 +162,50 @@ def test_mixing_targets_and_shards(spark):
     want |= {n: weight[n] * level for n in free}
     assert all(abs(want[n] - by.target[n]) < 1e-6 * want[n] + 1e-9 for n in names)
     shards = mixing.shards(mix).toPandas()
-    assert shards.words.sum() == rows.taken.sum() and shards.shard.nunique() > 5
-    assert (shards.groupby("shard").position.apply(lambda p: sorted(p) == list(range(len(p))))).all()
+    assert shards.words.sum() == rows.taken.sum() and shards.shard.nunique() == math.ceil(by.target.sum() / 4000) > 5
+    assert (shards.groupby("shard").order.apply(lambda x: x.is_monotonic_increasing)).all() and shards.order.is_unique
+    assert not shards.duplicated(["doc_id", "pass"]).any()
     again = mixing.mix_sources(docs, [3, 1, 2], shard_words=4000).toPandas()
     assert again.sort_values("doc_id").taken.tolist() == rows.sort_values("doc_id").taken.tolist()
 
 
+def test_mixing_by_brute_force(spark):
+    """Quotas by blocks, row by row: keys give blocks, blocks in order are taken up to the target's words, the last block by keys."""
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randint(0, 30), rnd.choice(["a", "a", "a", "b", None])) for i in range(400)] + [(None, "no id here " * 3, "b"), (7, "x y z", "a"), (7, "x y z", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = mixing.mix_rows(docs, [3, 1, 2], shard_words=500, blocks=16).select("row.*", "size", "target", "source_size", "draws").collect()
+    keys = docs.select(F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "source", "text").alias("k"), "*").collect()
+    key_of = {(r.doc_id, r.source, r.text): r.k for r in keys}
+    assert len(got) == len(rows)
+    for source in ("a", "b", None):
+        mine = [r for r in got if r.source == source]
+        total = sum(len(r.text.split()) for r in mine)
+        goal = int(mine[0].target + 1e-6)
+        passes, rest = divmod(goal, total)
+        by = defaultdict(list)
+        for r in mine:
+            by[key_of[r.doc_id, r.source, r.text] % 16].append(r)
+        want = {}
+        for b in sorted(by):
+            for k in sorted({key_of[r.doc_id, r.source, r.text] for r in by[b]}):
+                same = [r for r in by[b] if key_of[r.doc_id, r.source, r.text] == k]
+                take = min(rest, sum(r.size for r in same))
+                want[k] = passes * same[0].size + take // len(same)
+                rest -= take
+        assert all(r.source_size == total and r.size == len(r.text.split()) and sum(d.words for d in r.draws) == want[key_of[r.doc_id, r.source, r.text]] for r in mine)
+    drawn = Counter((r.source, key_of[r.doc_id, r.source, r.text] % 16, d["pass"], d.shard) for r in got for d in r.draws)
+    assert len({x[:3] for x in drawn}) == len(drawn)  # a block of a pass goes to one shard
+
+
+def test_quotas_are_split_exactly(spark):
+    quotas = spark.createDataFrame([(0, 700), (1, 33), (2, 0), (3, 267)], "sid long, quota long")
+    got = mixing.split_quotas(quotas, 100, 5).toPandas()
+    assert got.groupby("sid").n.sum().to_dict() == {0: 700, 1: 33, 3: 267} and (got.groupby("shard").n.sum() == 10).all() and got.shard.nunique() == 100
+    for _, run in got.sort_values("low").groupby("sid"):
+        assert (run.low.to_numpy()[1:] == (run.low + run.n).to_numpy()[:-1]).all() and run.low.iloc[0] == 0
+
+
 def base_spans(text):
     """The base patterns, plainly."""
     out = []
