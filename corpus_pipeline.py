@@ -13,7 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels of this input, doesn't reject."""
+    """Documents that the classifier, learnt from the labels of this input, doesn't reject.
+
+    Null and empty texts are scored as empty ones; repeated rows and null ids as any; without labels all stay. Other columns are dropped.
+    """
     model = quality.train(quality.document_statistics(docs), table(spark, sf_dir, "labels"))
     return quality.keep(docs.select(*COLUMNS), model)
 
@@ -29,19 +32,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
+    """All documents, with pseudonyms for personal data. Null texts stay null; n_chars is the new text's length."""
     return pii.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one that it takes in part is in if that is half or more of it."""
-    times = mixing.mix_sources(docs, WEIGHTS).select("doc_id", F.size(F.filter("draws", lambda d: d["words"] * 2 >= F.col("size"))).alias("times"))
-    times = materialize(times.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times")), "times")
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """Documents as often as the mix takes them, shard by shard in random order; one that it takes in part is in if that is half or more of it.
+
+    Null ids, null sources and repeated rows are rows like others; texts without a word add nothing to any weight and are in no mix.
+    """
+    drawn = mixing.shards(mixing.mix_rows(docs.select(*COLUMNS), WEIGHTS)).where("words * 2 >= size")
+    return drawn.select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids and the text that these decode to."""
+    """Every row with its token ids and whether these decode to its text. Null texts count as empty: no ids."""
     return bpe.encode_and_decode(docs).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
