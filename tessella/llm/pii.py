@@ -68,8 +68,11 @@ def permute_text(text: Column, key: str) -> Column:
     return F.aggregate(F.array(state), F.lit(""), lambda _, s: F.concat(s["a"], s["b"]))
 
 
-def permute_number(x: Column, size: int, key: str) -> Column:
-    """A permutation of 0 ... size-1: a Feistel network on a square of at least that size; values outside walk on."""
+def permute_number(x: Column, size: int, key: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """A permutation of the valid numbers among 0 ... size-1: a Feistel network on a square of at least that size; values outside walk on.
+
+    At least 8 of 10 numbers of the square must be valid: then a walk of more than 30 steps has odds below 1e-20.
+    """
     side = int(size**0.5)
     side += side * side < size
 
@@ -77,7 +80,8 @@ def permute_number(x: Column, size: int, key: str) -> Column:
         state = feistel(F.floor(v / side).cast("long"), (v % side).cast("long"), lambda half, other, i: F.pmod(half + digest_number(key, i, other), F.lit(side).cast("long")))
         return F.aggregate(F.array(state), F.lit(0).cast("long"), lambda _, s: s["a"] * side + s["b"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(-1).cast("long"), lambda v, i: F.when(v.between(0, size - 1), v).otherwise(once(F.when(v < 0, x).otherwise(v))))
+    ends = lambda v: v.between(0, size - 1) & (valid(v) if valid else F.lit(True))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.lit(-1).cast("long"), lambda v, i: F.when(ends(v), v).otherwise(once(F.when(v < 0, x).otherwise(v))))
 
 
 def luhn(digits: Column) -> Column:
@@ -117,17 +121,41 @@ def ipv4(x: Column, key: str) -> Column:
 
 
 def date(x: Column, key: str) -> Column:
-    """Days from 1900 to 2099 among themselves."""
-    days = 73049
-    out = x
-    for form in ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
-        day = F.datediff(F.try_to_timestamp(x, F.lit(form)).cast("date"), F.lit("1900-01-01").cast("date"))
-        out = F.when(day.between(0, days - 1), _as_date(permute_number(day.cast("long"), days, key), form)).otherwise(out)
-    return out
-
+    """Dates from 1900 to 2099, each form among its own: year first; with full stops; with slashes as (month, day), (day, month) or either.
 
-def _as_date(number: Column, form: str) -> Column:
-    return F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), number.cast("int")), form)
+    With slashes, two numbers up to 12 may mean two days: such strings are permuted among themselves, and those that mean one day
+    among those of the same order, so different strings never get one pseudonym.
+    """
+    iso = x.rlike("^[0-9]{4}-")
+    year = F.when(iso, F.left(x, F.lit(4))).otherwise(F.right(x, F.lit(4))).cast("int")
+    first = F.when(iso, F.substring(x, 6, 2)).otherwise(F.left(x, F.lit(2))).cast("int")
+    second = F.when(iso, F.substring(x, 9, 2)).otherwise(F.substring(x, 4, 2)).cast("int")
+    slash, era = x.contains("/"), year.between(1900, 2099)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+
+    def whole(month: Column, day: Column, name: str, show: Callable[[Column, Column, Column], Column]) -> Column:
+        """Months of 31 places; places without a day are walked over."""
+        fits = lambda v: F.dayofmonth(F.last_day(F.make_date((F.floor(v / 372) + 1900).cast("int"), (F.floor(v / 31) % 12 + 1).cast("int"), F.lit(1)))) > v % 31
+        n = ((year - 1900) * 372 + (month - 1) * 31 + day - 1).cast("long")
+        made = F.transform(F.array(permute_number(n, 200 * 372, key + name, fits)), lambda v: show((F.floor(v / 372) + 1900).cast("string"), two(F.floor(v / 31) % 12 + 1), two(v % 31 + 1)))[0]
+        real = era & month.between(1, 12) & (day >= 1) & (day <= F.dayofmonth(F.last_day(F.try_to_timestamp(F.concat(year.cast("string"), two(month)), F.lit("yyyyMM")).cast("date"))))
+        return F.when(real, made)
+
+    def late(month: Column, day: Column, name: str, show: Callable[[Column, Column, Column], Column]) -> Column:
+        """Days from the 13th: months of 19 places."""
+        fits = lambda v: F.dayofmonth(F.last_day(F.make_date((F.floor(v / 228) + 1900).cast("int"), (F.floor(v / 19) % 12 + 1).cast("int"), F.lit(1)))) > v % 19 + 12
+        n = ((year - 1900) * 228 + (month - 1) * 19 + day - 13).cast("long")
+        made = F.transform(F.array(permute_number(n, 200 * 228, key + name, fits)), lambda v: show((F.floor(v / 228) + 1900).cast("string"), two(F.floor(v / 19) % 12 + 1), two(v % 19 + 13)))[0]
+        real = era & month.between(1, 12) & (day >= 13) & (day <= F.dayofmonth(F.last_day(F.try_to_timestamp(F.concat(year.cast("string"), two(month)), F.lit("yyyyMM")).cast("date"))))
+        return F.when(real, made)
+
+    n = ((year - 1900) * 144 + (first - 1) * 12 + second - 1).cast("long")
+    either = F.transform(F.array(permute_number(n, 200 * 144, key + "either")), lambda v: F.concat_ws("/", two(F.floor(v / 12) % 12 + 1), two(v % 12 + 1), (F.floor(v / 144) + 1900).cast("string")))[0]
+    out = F.when(iso, whole(first, second, "iso", lambda y, m, d: F.concat_ws("-", y, m, d)))
+    out = out.when(~slash, whole(second, first, "stops", lambda y, m, d: F.concat_ws(".", d, m, y)))
+    out = out.when(first.between(1, 12) & second.between(1, 12), F.when(era, either))
+    out = out.when(first <= 12, late(first, second, "month", lambda y, m, d: F.concat_ws("/", m, d, y)))
+    return F.coalesce(out.otherwise(late(second, first, "day", lambda y, m, d: F.concat_ws("/", d, m, y))), x)
 
 
 def ssn(x: Column, key: str) -> Column:
@@ -137,9 +165,10 @@ def ssn(x: Column, key: str) -> Column:
 
 
 def phone(x: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(x, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    return F.concat(code, permute_text(F.substring(x, F.length(code) + 1, F.length(x)), key))
+    """8 to 15 digits (E.164), a country code that doesn't begin with 0; the code stays (without a separator, its first digit)."""
+    valid = F.length(F.regexp_replace(x, "[^0-9]", "")).between(8, 15) & ~x.startswith("+0")
+    code = F.regexp_extract(x, r"^\+(?:[0-9]{1,3}(?=[ .(-])|[0-9])", 0)
+    return F.when(valid, F.concat(code, permute_text(F.substring(x, F.length(code) + 1, F.length(x)), key))).otherwise(x)
 
 
 def card(x: Column, key: str) -> Column:

@@ -11,14 +11,18 @@ from tessella.llm import bpe, media, mixing, ngram_join, pii, quality, secrets,
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = [3, 1, 2]
-#: The key of pseudonyms; a deployment sets its own.
-KEY = "a key of the deployment"
+#: The session's setting for the key of pseudonyms, and the key of sessions that set none (for tests).
+KEY_SETTING, TEST_KEY = "spark.tessella.pii.key", "a key of the deployment"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -41,7 +45,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key(spark))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,73 @@ def test_pseudonyms_are_permutations(spark):
     assert len({r.x for r in t}) == 1000
 
 
+def test_dates_of_a_form_are_permuted(spark):
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = ["MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"]
+    strings = days.select(F.explode(F.array_distinct(F.array(*(F.date_format("d", f) for f in forms)))).alias("x")).distinct()
+    got = strings.repartition(4).select("x", pii.date(F.col("x"), "k").alias("y")).toPandas()
+    assert got.y.is_unique and set(got.y) == set(got.x) and (got.x != got.y).mean() > 0.99
+    rest = spark.createDataFrame([(x,) for x in ("31/02/2000", "00/01/2000", "13/13/2000", "1899-12-31", "2001-02-29", "2100-01-01", "10/10/1899")], "x string")
+    assert all(r.x == r.y for r in rest.select("x", pii.date(F.col("x"), "k").alias("y")).collect())
+
+
+def plausible(kind, x):
+    """Whether a value passes validation, plainly."""
+    digits = re.sub("[^0-9]", "", x)
+    if kind == "iban":
+        t = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    if kind == "ipv4":
+        return all(int(o) < 256 for o in x.split("."))
+    if kind == "date":
+        import datetime as dt
+
+        for f in ("%m/%d/%Y", "%d/%m/%Y", "%d.%m.%Y", "%Y-%m-%d"):
+            try:
+                if 1900 <= dt.datetime.strptime(x, f).year <= 2099:
+                    return True
+            except ValueError:
+                pass
+        return False
+    if kind == "ssn":
+        return not (x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000")
+    if kind == "phone":
+        return 8 <= len(digits) <= 15 and not x.startswith("+0")
+    if kind == "card":
+        d = [int(c) for c in digits][::-1]
+        return (sum(d[::2]) + sum(sum(divmod(2 * n, 10)) for n in d[1::2])) % 10 == 0
+    return True
+
+
+def test_pseudonyms_of_whole_rows(spark, texts):
+    import regex
+
+    rnd = random.Random(8)
+    made = [f"card {rnd.randint(10**15, 10**16 - 1)} on {rnd.randint(1, 14):02}/{rnd.randint(1, 32):02}/{rnd.randint(1890, 2110)}, {rnd.randint(0, 299)}.{rnd.randint(0, 299)}.1.2; +{rnd.randint(0, 99)} {rnd.randint(100, 999)} {rnd.randint(1000, 9999)}-{rnd.randint(100, 9999)} {rnd.randint(0, 999):03}-{rnd.randint(0, 99):02}-{rnd.randint(0, 9999):04}" for _ in range(400)]
+    rows = [*texts.values(), *made]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").collect()}
+    ways, kinds = defaultdict(dict), Counter()
+    for i, t in enumerate(rows):
+        hits = list(regex.finditer(pii.ANY, t))
+        gaps = [t[a:b] for a, b in zip([0, *(h.end() for h in hits)], [*(h.start() for h in hits), len(t)], strict=True)]
+        forms = [r"([0-9]{1,3}(?:[.][0-9]{1,3}){3})" if regex.fullmatch(pii.PATTERNS["ipv4"], h[0]) else f"(.{{{len(h[0])}}})" for h in hits]
+        values = re.fullmatch("".join(re.escape(g) + f for g, f in zip(gaps, [*forms, ""], strict=True)), got[i].text, re.S)
+        assert values, t
+        changed = 0
+        for h, new in zip(hits, values.groups(), strict=True):
+            kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, h[0]))
+            ok = plausible(kind, h[0])
+            assert ok or new == h[0]
+            if ok:
+                assert plausible(kind, new) and (kind == "ipv4" or re.sub(r"\d", "0", new) == re.sub(r"\d", "0", h[0]) or kind in ("email", "iban"))
+                assert ways[kind].setdefault(h[0], new) == new
+                kinds[kind] += new != h[0]
+            changed += new != h[0]
+        assert got[i].n_replaced == changed
+    for kind, way in ways.items():
+        assert len(set(way.values())) == len(way) and kinds[kind] > 0.9 * len(way)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()
