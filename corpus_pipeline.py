@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, mixing, ngram_join, pii, quality
-from tessella.llm.queries import KEY, WEIGHTS, table
+from tessella.llm.queries import WEIGHTS, key, table
 from tessella.plans.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,7 +33,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data. Null texts stay null; n_chars is the new text's length."""
-    return pii.pseudonymize(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.pseudonymize(docs, key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
