@@ -469,15 +469,30 @@ def test_warc_round_trip(spark):
         assert (r.record_type, r.refers_to) == (("revisit", p - 1000) if p >= 1000 else ("response", None))
 
 
-def test_damaged_bundles_are_noticed(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string")
-    where = warc.write_archives(pages, f"file://{tmp_path}/w").first()
-    path = where["bundle"].removeprefix("file://")
+@pytest.mark.parametrize("place", [-3, -20, 40, 200])
+def test_damaged_bundles_are_noticed(spark, tmp_path, place):
+    rnd = random.Random(1)
+    pages = spark.createDataFrame([(1, "u", "".join(rnd.choice("abcdefgh") for _ in range(900)))], "page_id long, url string, html string")
+    index = warc.write_archives(pages, f"file://{tmp_path}/w")
+    path = index.first()["bundle"].removeprefix("file://")
     data = bytearray(open(path, "rb").read())
-    data[-3] ^= 255
+    data[place] ^= 255
     open(path, "wb").write(data)
-    with pytest.raises(ValueError):
-        next(warc._read(iter([pa.RecordBatch.from_pydict({"bundle": [where["bundle"]]})])))
+    with pytest.raises(Exception, match="seek table|damaged|index"):
+        warc.read_archives(spark, index).collect()
+
+
+def test_archives_with_text_ids(spark):
+    rows = [("a%", "u", "x" * 150), ("b\r\nc", "u", "x" * 150), (None, "u", "x" * 150), ("", "u", None)]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()}
+    assert got == {"a%": ("response", None, 150), "b\r\nc": ("revisit", "a%", 150), None: ("revisit", "a%", 150), "": ("response", None, 0)}
+
+
+def test_bundles_are_read_by_as_many_tasks(spark):
+    rows = spark.range(600).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 300).alias("html")).repartition(6)
+    index = warc.write_archives(rows)
+    out = warc.read_archives(spark, index)
+    assert index.select("bundle").distinct().count() == 6 and out.select(F.spark_partition_id()).distinct().count() >= 4 and out.count() == 600
 
 
 def test_pipeline_keeps_clean_documents(spark):
