@@ -60,7 +60,7 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spotsigs_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.near_copies(table(spark, sf_dir, "documents"))
 
 
@@ -68,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
-OPERATORS = (op1_url_filters, op2_mixing, op3_secrets, op4_ngram_join, op5_quality, op6_pii, op7_media, op8_bpe, op9_spotsigs, op9_near_copies, op10_warc)
+OPERATORS = (op1_url_filters, op2_mixing, op3_secrets, op4_ngram_join, op5_quality, op6_pii, op7_media, op8_bpe, op9_spotsigs, spotsigs_near_copies, op10_warc)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Method: wherever a common word stands (an anchor: articles, prepositions, conjunctions), the next content words form a chain; the
 hashes of anchor and chain are the signatures, and the set of them is the fingerprint. Words are taken without the symbols at their
-ends. Boilerplate beside texts with such words leaves few traces; a text without any has its chains of content words instead. Of a document, its edited text and the next document, likeness() gives the whole Jaccard likeness.
+ends. Boilerplate beside texts with such words leaves few traces; stretches without any have chains of their own. Of a document, its edited text and the next document, likeness() gives the whole Jaccard likeness.
 
 Across all documents, near_copies() links fingerprints of a likeness of NEAR_PCT or more, by the set join of ngram_join: sets are
 partitioned by ranges of set length, own and next, as likeness can't be reached beyond; signatures that stand out in a sketch
@@ -30,6 +30,8 @@ from tessella.plans.shared import materialize
 COMMON = "a an and are as at be by for from in is it of on or that the this to was with  au aux de des du elle en est et il la le les par pas pour que qui sur un une  auf das dem den der des die ein eine für im ist mit nicht sich und von zu  al con como del el en es las lo los para por que se su un una y".split()
 #: Content words of a chain.
 CHAIN = 2
+#: Words without an anchor after which every word begins a chain.
+LONELY = 8
 #: Fingerprints whose Jaccard likeness is so many hundredths or more are near copies.
 NEAR_PCT = 80
 #: Signatures of a block that one task compares at once.
@@ -53,16 +55,21 @@ def anchors() -> np.ndarray:
 def signatures(texts: pa.Array, chain: int = CHAIN) -> Iterator[np.ndarray]:
     """Of every text, the sorted distinct signatures. Words count without the symbols at their ends.
 
-    A text without an anchored chain has all its chains of content words; with too few content words, one signature of all words.
+    A chain begins at every common word, and at every other word that has none among the LONELY words before it (the text's begin counts
+    as one), so that stretches in other languages, lists and tables are covered and an edit changes chains nearby only.
+    A signature that comes again counts again, with its number. A text without any chain has those of all its
+    content words; with too few content words, one signature of all words. Signatures are cut to 32 bits: two different ones are
+    taken for equal with odds of 2**-32.
     """
     for _, data, offsets in chunks(texts):
         hashes, _, first = words(data, offsets, trim=True)
         count = len(hashes)
         common = np.isin(hashes, anchors())
         content = np.flatnonzero(~common)
-        anchor = np.flatnonzero(common)
-        at = np.searchsorted(content, anchor)
         owner = np.searchsorted(first, np.arange(count), "right") - 1
+        before = np.maximum(np.maximum.accumulate(np.where(common, np.arange(count), -1)) if count else np.zeros(0, np.int64), first[owner] - 1)
+        anchor = np.flatnonzero(common | (np.arange(count) - before > LONELY))
+        at = np.searchsorted(content, anchor, "right")
         whole = at + chain <= len(content)
         anchor, at = anchor[whole], at[whole]
         if len(anchor):
@@ -72,7 +79,7 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> Iterator[np.ndarray]:
         sig = hashes[anchor]
         for j in range(chain):
             sig = mix(sig * np.uint64(31) + hashes[content[at + j]]) if len(sig) else sig
-        sig = (sig >> np.uint64(32)).astype(np.uint32)
+        sig = numbered(sig, owner[anchor])
         cut = np.searchsorted(owner[anchor], np.arange(len(first)))
         for i in range(len(first) - 1):
             s = sig[cut[i] : cut[i + 1]]
@@ -82,11 +89,21 @@ def signatures(texts: pa.Array, chain: int = CHAIN) -> Iterator[np.ndarray]:
                     s = np.zeros(len(h) - chain + 1, np.uint64)
                     for j in range(chain):
                         s = mix(s * np.uint64(31) + h[j : len(h) - chain + 1 + j])
-                    yield np.unique((s >> np.uint64(32)).astype(np.uint32))
-                    continue
-                h = np.add.reduce(mix(hashes[first[i] : first[i + 1]] + np.arange(first[i + 1] - first[i], dtype=np.uint64)))
-                s = np.array([mix(np.array([h]))[0] >> np.uint64(32)], np.uint32)
-            yield np.unique(s)
+                    s = numbered(s, np.zeros(len(s), np.int64))
+                else:
+                    s = mix(np.array([np.add.reduce(mix(hashes[first[i] : first[i + 1]] + np.arange(first[i + 1] - first[i], dtype=np.uint64)))]))
+            yield np.unique((s >> np.uint64(32)).astype(np.uint32))
+
+
+def numbered(sig: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Signatures, each mixed with how many equal ones of its row are before it; the first stays."""
+    order = np.lexsort((sig, row))
+    s, r = sig[order], row[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (r[1:] != r[:-1]))) if len(s) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0)) if len(s) else np.zeros(0, np.int64)
+    place = np.zeros(len(s), np.uint64)
+    place[order] = (np.arange(len(s)) - start).astype(np.uint64)
+    return np.where(place > 0, mix(sig + place * np.uint64(0x9E3779B97F4A7C15)), sig)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
