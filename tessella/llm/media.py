@@ -113,22 +113,16 @@ def sequences(pages: DataFrame, id_column: str = "page_id", html_column: str = "
 def resolve(rows: DataFrame, media: DataFrame, id_column: str) -> DataFrame:
     """rows(id, ..., items) with every media item's row of media(ref, ...) as `media`, null where there is none.
 
-    media has one row a ref at most. A row's items come together by (all columns but items, hash of items, copy number), so repeated rows
-    and null ids are kept, and items keep their order. Rows without items have an empty array.
+    media has one row a ref at most. Rows are written with a number each, so repeated rows and null ids are kept; only the
+    references are dealt by the join, and what they refer to comes back to its row and position. Rows without items have an empty array.
     """
     fields = [c for c in media.columns if c != "ref"]
-    found = F.struct(*(F.col(c) for c in fields))
     whose = [id_column, *(c for c in rows.columns if c not in (id_column, "items"))]
-    key = [*whose, "_h"]
-    rows = rows.select(*whose, "items", F.xxhash64(F.to_json("items")).alias("_h"))
-    # Equal rows have equal items: they are counted here and given out again.
-    rows = rows.groupBy(*key).agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("_n"))
-    items = rows.select(*key, "_n", F.explode_outer("items").alias("item"))
-    # Text has no reference: a key of its own that nothing has, instead of one null for all.
-    items = items.withColumn("ref", F.coalesce("item.ref", F.concat_ws(":", F.lit("\0text"), "_h", "item.position")))
-    joined = items.join(media.withColumn("_there", F.lit(True)), "ref", "left").select(*key, "_n", F.when(F.col("item").isNotNull(), F.struct("item.position", "item.kind", "item.text", "item.ref", "item.caption", F.when(F.col("_there"), found).alias("media"))).alias("item"))
-    whole = joined.groupBy(*key, "_n").agg(F.array_sort(F.collect_list("item"), lambda x, y: x["position"] - y["position"]).alias("items"))
-    return whole.select(*whose, "items", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    rows = materialize(rows.select(*whose, F.coalesce("items", F.array().cast(SEQUENCE)).alias("items"), F.monotonically_increasing_id().alias("_row")), "sequences")
+    refs = rows.select("_row", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item")).select("_row", "item.position", "item.ref")
+    found = refs.join(media, "ref").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*fields)))).alias("_found"))
+    whole = lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), x["text"].alias("text"), x["ref"].alias("ref"), x["caption"].alias("caption"), F.try_element_at("_found", x["position"]).alias("media"))
+    return rows.join(found, "_row", "left").select(*whose, F.transform("items", whole).alias("items"))
 
 
 # ---- documents as greymaps -------------------------------------------------------------------------------------------
@@ -148,6 +142,15 @@ def samples(media: bytes) -> np.ndarray:
     return flat.reshape(int(head[2]), int(head[1]))
 
 
+def article(text: str, ref: str) -> str:
+    """A text as a page: its lines as paragraphs, with its picture after the first and that line's first words as caption."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    caption = " ".join(lines[0].split()[:12]) if lines else ""
+    figure = f'<figure><img src="{escape(ref)}"><figcaption>{escape(caption)}</figcaption></figure>'
+    shown = [f"<p>{escape(x)}</p>" for x in lines]
+    return "<article>" + "".join([*shown[:1], figure, *shown[1:]]) + "</article>"
+
+
 @released()
 def _store(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches, "text", 4 << 20):
@@ -155,12 +158,18 @@ def _store(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[
         for text in b.column("text").to_pylist():
             data = (text or "").encode()
             media = stored(data + b" " * (-len(data) % WIDTH if data else WIDTH))
-            ref = "sha256:" + sha256(media).hexdigest()
-            words = (text or "")[:400].split()
-            html = f'<article><p>{escape(" ".join(words[:4]))}</p><figure><img src="{ref}"><figcaption>{escape(" ".join(words[4:12]))}</figcaption></figure></article>'
-            rows.append((html, len(data), ref, media))
-        html, size, ref, media = zip(*rows, strict=True) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(id_type), pa.array(html, pa.string()), pa.array(size, pa.int64()), pa.array(ref, pa.string()), pa.array(media, pa.binary())], ["doc_id", "html", "n_bytes", "ref", "media"])
+            rows.append((len(data), "sha256:" + sha256(media).hexdigest(), media))
+        size, ref, media = zip(*rows, strict=True) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(id_type), pa.array(size, pa.int64()), pa.array(ref, pa.string()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "ref", "media"])
+
+
+@released()
+def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, ref, media) to (doc_id, n_bytes, items): the stored text as a page, parsed."""
+    for b in small_batches(batches, "media", 2 << 20):
+        texts = [samples(m).tobytes()[:n].decode() for m, n in zip(b.column("media").to_pylist(), b.column("n_bytes").to_pylist(), strict=True)]
+        items = [sequence(article(t, ref)) for t, ref in zip(texts, b.column("ref").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(items, pa.list_(_ITEM))], ["doc_id", "n_bytes", "items"])
 
 
 FEATURES = "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, picture string"
@@ -184,24 +193,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, items with media) of every row of docs(doc_id, text, ...): its opening words, then its text as a picture.
+def document_media(docs: DataFrame, brief: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, items with media) of every row of docs(doc_id, text, ...): its lines as text items, and its whole text as a picture.
 
-    n_bytes is the text's own and stays with the document: texts that differ in trailing spaces can share a padded picture. Texts are stored as greymaps in a written table and read back from it. Null text is empty, a picture of spaces.
+    n_bytes is the text's own and stays with the document: texts that differ in trailing spaces can share a padded picture. Texts are stored
+    as greymaps in a written table and read back from it. Null text is empty, a picture of spaces alone. brief: with the lengths of
+    texts and captions (as strings) in their place, so that no text is dealt. Ids are strings or whole numbers.
     """
     arrow = pa.string() if docs.schema["doc_id"].dataType.simpleString() == "string" else pa.int64()
     kind = "string" if pa.types.is_string(arrow) else "long"
     rows = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
-    table = materialize(rows.mapInArrow(partial(_store, id_type=arrow), f"doc_id {kind}, html string, n_bytes long, ref string, media binary"), "media")
+    table = materialize(rows.mapInArrow(partial(_store, id_type=arrow), f"doc_id {kind}, n_bytes long, ref string, media binary"), "media")
     names = [x.split()[0] for x in FEATURES.split(", ") if not x.startswith("ref ")]
     media = table.select("ref", "media").mapInArrow(_features, FEATURES).groupBy("ref").agg(*(F.first(c).alias(c) for c in names))
+    items = table.mapInArrow(_articles, f"doc_id {kind}, n_bytes long, items {SEQUENCE}")
+    if brief:
+        short = lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), F.length(x["text"]).cast("string").alias("text"), x["ref"].alias("ref"), F.length(x["caption"]).cast("string").alias("caption"))
+        items = items.select("doc_id", "n_bytes", F.transform("items", short).alias("items"))
     # As a table of its own, so that the join deals both sides anew and can split a reference that many documents share.
-    return resolve(sequences(table, "doc_id", carried=("n_bytes",)), materialize(media, "features"), "doc_id")
+    return resolve(items, materialize(media, "features"), "doc_id")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row.
+
+    feature: the document's items in order, texts by their lengths, the picture by size, mean and shares of brightness, with its caption's length.
+    """
     item = F.filter("items", lambda x: x["kind"] == "media")[0]
-    told = F.transform("items", lambda x: F.when(x["kind"] == "text", F.concat(F.lit("text "), F.length(x["text"]))).otherwise(F.concat(F.lit("picture "), x["media"]["picture"], F.lit(" caption "), F.coalesce(F.length(x["caption"]), F.lit(0)))))
-    rows = document_media(docs).select("doc_id", "n_bytes", item.alias("m"), F.array_join(told, " | ").alias("feature"))
+    told = F.transform("items", lambda x: F.when(x["kind"] == "text", F.concat(F.lit("text "), x["text"])).otherwise(F.concat(F.lit("picture "), x["media"]["picture"], F.lit(" caption "), F.coalesce(x["caption"], F.lit("0")))))
+    rows = document_media(docs, brief=True).select("doc_id", "n_bytes", item.alias("m"), F.array_join(told, " | ").alias("feature"))
     return rows.select("doc_id", "n_bytes", "m.media.payload_bytes", "m.media.payload_sha256", "m.media.tail_crc32", "m.media.media_bytes", "m.media.media_sha256", "feature")

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import html as html_lib
 import math
 import random
 import re
@@ -370,6 +371,27 @@ def test_media_round_trip(spark, texts):
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r.media_sha256 == hashlib.sha256(media.stored(payload)).hexdigest() and r.media_bytes == len(media.stored(payload))
+        lines = [" ".join(x.split()) for x in t.split("\n") if x.strip()]
+        shares = "-".join(str(sum(b // 32 == k for b in payload) * 100 // len(payload)) for k in range(8))
+        picture = f"picture 192x{len(payload) // 192} mean {sum(payload) * 100 // len(payload)} bands {shares} caption {len(' '.join(lines[0].split()[:12])) if lines else 0}"
+        said = [f"text {len(x)}" for x in lines]
+        assert r.feature == " | ".join([*said[:1], picture, *said[1:]])
+
+
+def test_pages_hold_their_items_in_order(spark):
+    """Text blocks, references and captions of real pages, by a plain scan of the tags."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    made = [(-1, "<div>a<figure><img src=x><img src=y><figcaption>both &lt; one</figcaption></figure>b<video src=v></video></div>" * 3)]
+    pages = pages.select("page_id", "html").union(spark.createDataFrame(made, "page_id long, html string"))
+    got = {r.page_id: r["items"] for r in media.sequences(pages).collect()}
+    for r in pages.collect():
+        flat = re.sub(r"(?is)<(script|style|template|noscript|title)\b.*?</\1\s*>", "", r.html)
+        refs = re.findall(r"""(?is)<(?:img|video|audio|source|embed)\b[^>]*?\bsrc\s*=\s*["']?([^"'\s>]+)""", flat)
+        assert [i.ref for i in got[r.page_id] if i.kind == "media"] == [html_lib.unescape(x) for x in refs]
+        assert [i.position for i in got[r.page_id]] == list(range(len(got[r.page_id])))
+        plain = "".join(html_lib.unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", "", re.sub(r"(?is)<figcaption.*?</figcaption>", "", flat))).split())
+        assert "".join("".join(i.text.split()) for i in got[r.page_id] if i.kind == "text") == plain
+    assert [(i.ref or i.text, i.caption) for i in got[-1]][:5] == [("a", None), ("x", "both < one"), ("y", "both < one"), ("b", None), ("v", None)]
 
 
 def test_sequences_stay_aligned(spark):
