@@ -4,8 +4,8 @@ Method: multipart linking. Besides the base patterns, weak candidates are gather
 short or unlabelled secrets, and endpoints (scheme://host). Each is an interval; a scope is a document. Candidates
 and base spans of a document are joined by their intervals, widened by `reach` code points: a weak identifier is reported only
 with a secret or an endpoint nearby, a weak secret only with an identifier or an endpoint nearby; endpoints
-are never reported. The join sweeps the intervals in order, each against the nearest complement on either side,
-so no pairs are made. DataFrame operations only.
+are never reported. The join sweeps the intervals in order, each against the nearest base span and the nearest complement on
+either side, so no pairs are made. Spans may overlap each other: an identifier and a part are told by themselves. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -46,18 +46,23 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("assigned", match_spans(F.col("text"), ASSIGN, 2))
-    base = F.concat(_spans(F.col("assigned"), 0, lambda x: F.length(x["g1"]) >= 12), _spans(match_spans(F.col("text"), ACCESS), 1), _spans(match_spans(F.col("text"), HEX), 2))
+    named, here = F.col("text").rlike("[:=]"), F.col("text")
+    rows = docs.select("doc_id", text.alias("text")).withColumn("assigned", match_spans(here, ASSIGN, 2, sign=named))
+    base = F.concat(_spans(F.col("assigned"), 0, lambda x: F.length(x["g1"]) >= 12), _spans(match_spans(here, ACCESS, sign=here.contains("AKIA")), 1), _spans(match_spans(here, HEX), 2))
     mixed = lambda x: x["g0"].rlike("[0-9]") & x["g0"].rlike("[A-Z]") & x["g0"].rlike("[a-z]")
     short = lambda x: (F.length(x["g1"]) < 12) & (F.length(x["g1"]) >= 6)
-    weak = F.concat(_spans(match_spans(F.col("text"), IDENTIFIER), 3), _spans(F.col("assigned"), 4, short), _spans(match_spans(F.col("text"), TOKEN), 4, mixed))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.array_sort(base).alias("base"), weak.alias("weak"), _spans(match_spans(F.col("text"), ENDPOINT), 5).alias("ends"))
-    apart = lambda x, y: (x["end"] <= y["start"]) | (y["end"] <= x["start"])
-    rows = rows.withColumn("weak", F.filter("weak", lambda x: F.forall("base", lambda y: apart(x, y))))
+    weak = F.concat(_spans(match_spans(here, IDENTIFIER, sign=named), 3), _spans(F.col("assigned"), 4, short), _spans(match_spans(here, TOKEN), 4, mixed))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.array_sort(base).alias("base"), weak.alias("weak"), _spans(match_spans(here, ENDPOINT, sign=here.contains("://")), 5).alias("ends"))
     rows = materialize(rows, "spans")
 
     # Equal rows have equal parts, so one of them stands for all.
     parts = rows.where(F.size("weak") > 0).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode(F.concat("base", "weak", "ends")).alias("x")).select("doc_id", "h", "x.*")
+    # At one place base spans come first: the furthest end before and the nearest start after tell whether one overlaps.
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "kind", "end")
+    sure = F.col("kind") < 3
+    parts = parts.withColumn("base_end", F.max(F.when(sure, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("base_start", F.min(F.when(sure, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    hidden = F.coalesce(F.col("base_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("base_start") < F.col("end"), F.lit(False))
+    parts = parts.where(~F.col("kind").isin(3, 4) | ~hidden)
     role = F.when(F.col("kind").isin(1, 3), "identifier").when(F.col("kind") == 5, "endpoint").otherwise("secret")
     parts = parts.withColumn("role", role)
     ahead = Window.partitionBy("doc_id", "h").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,31 +35,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     with nulls or without a host fit nothing. Repeated rows give repeated results; null ids are kept.
     """
     rules = rules.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
-    rules = rules.groupBy(F.translate("host", LETTERS, LETTERS.lower()).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("rule_verdict"))
-    expression = F.concat("rule_host", "rule_path")
-    # Path lengths that rules have: as many as a path has characters at most.
-    lengths = F.array(*(F.lit(r["n"]) for r in rules.select(F.length("rule_path").alias("n")).distinct().collect())).cast("array<int>")
-    rules = rules.select("rule_host", "rule_path", "rule_verdict", F.sha2(expression, 256).alias("rule_digest")).withColumn("prefix", F.left("rule_digest", F.lit(8)))
+    rules = rules.groupBy(F.translate("host", LETTERS, LETTERS.lower()).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    # The lengths of paths that rules have, a scalar subquery: as many as a path has characters at most.
+    lengths = F.coalesce(rules.agg(F.sort_array(F.collect_set(F.length("path")))).scalar(), F.array().cast("array<int>"))
+    rules = rules.withColumn("digest", F.sha2(F.concat("host", "path"), 256)).groupBy(F.left("digest", F.lit(8)).alias("prefix")).agg(F.collect_list(F.struct("digest", "host", "path", "verdict")).alias("rules"))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         rules = F.broadcast(rules)
 
-    # Equal rows are counted, so that the key below is theirs alone, and given out again at the end.
-    rows = pages.groupBy("page_id", F.col("url").cast("string").alias("url")).agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.select("page_id", "url", "copies", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # The input's task is part of the key below: repeated rows of different tasks stay apart, and every url is expanded where it was read.
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.spark_partition_id().alias("task"))
+    rows = rows.select("task", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), lengths.alias("lengths"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
-    tries = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat(h, F.left("path", n)))))
-    tried = rows.select("page_id", "url", "copies", "host", "path", F.explode_outer(F.when(F.col("host") != "", tries)).alias("expression"))
-    tried = tried.withColumn("digest", F.sha2("expression", 256)).withColumn("prefix", F.left("digest", F.lit(8)))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    tries = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.struct(h.alias("h"), F.left("path", n).alias("p")))))
+    tried = rows.select("task", "page_id", "url", "host", "path", F.posexplode_outer(F.when(F.col("host") != "", tries)).alias("i", "x"))
+    tried = tried.withColumn("digest", F.sha2(F.concat("x.h", "x.p"), 256)).withColumn("prefix", F.left("digest", F.lit(8)))
+    # Each expression meets the rules of its prefix once; full digests, then the text itself, decide.
     met = tried.join(rules, "prefix", "left")
-    # Full digests, then the text itself, decide.
-    fits = (F.col("digest") == F.col("rule_digest")) & (F.col("expression") == F.concat("rule_host", "rule_path")) & F.col("path").startswith(F.col("rule_path"))
-    fits &= (F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host")))
-    best = F.max(F.when(fits, F.struct(F.length("expression").alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.col("expression").alias("rule")))).alias("best")
-    judged = met.groupBy("page_id", "url", "copies", "host", "path").agg(best)
+    fits = F.filter("rules", lambda r: (r["digest"] == F.col("digest")) & (r["host"] == F.col("x.h")) & (r["path"] == F.col("x.p")))
+    told = F.array_max(F.transform(fits, lambda r: F.struct(F.length(F.concat(r["host"], r["path"])).alias("n"), F.length(r["host"]).alias("h"), r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule"))))
+    judged = met.withColumn("told", told).groupBy("task", "page_id", "url", "host", "path").agg(F.max("told").alias("best"), F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("copies"))
     out = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "copies")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
 
 
 #: The rules of the registered query as (verdict, host, path).
