@@ -142,8 +142,10 @@ def signatures_of(text: str) -> np.ndarray:
 
 # ---- every document, its edited text and the next document -----------------------------------------------------------
 
-OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-NAMES = ["doc_id", "pid", "role", "copies", "text", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+#: Results as they are written: of the edited fingerprint, which signatures it keeps and those it adds.
+OUT = "n_chars long, edited_sha256 string, fingerprint string, kept array<boolean>, added string, near_edited double, near_next double"
+NAMES = ["doc_id", "pid", "role", "copies", "text", *(x.split()[0] for x in OUT.split(", "))]
+TYPES = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.bool_()), pa.string(), pa.float64(), pa.float64()]
 
 
 class Row:
@@ -160,19 +162,19 @@ def results(rows: list[Row], after: list[Row], id_type: pa.DataType) -> pa.Recor
     edited = [r.text[: len(r.text) - len(r.text) // 4] + n.text[: len(r.text) // 4] for r, n in zip(rows, after, strict=True)]
     sigs = list(signatures(pa.array(edited, pa.large_string())))
     cells = [
-        (r.doc_id, len(r.text), sha256(e.encode()).hexdigest(), text_of(r.sig), text_of(s), likeness(r.sig, s), likeness(r.sig, n.sig))
+        (r.doc_id, len(r.text), sha256(e.encode()).hexdigest(), text_of(r.sig), np.isin(r.sig, s), np.setdiff1d(s, r.sig, True).astype(">u4").tobytes().hex(), likeness(r.sig, s), likeness(r.sig, n.sig))
         for r, n, e, s in zip(rows, after, edited, sigs, strict=True)
         for _ in range(r.copies)
     ]
-    ids, size, digest, own, new, near, there = zip(*cells, strict=True) if cells else [()] * 7
+    ids, *cols = zip(*cells, strict=True) if cells else [()] * 8
     k = len(cells)
-    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.nulls(k, pa.int32()), pa.array(["done"] * k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(own, pa.string()), pa.array(new, pa.string()), pa.array(near, pa.float64()), pa.array(there, pa.float64())], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.nulls(k, pa.int32()), pa.array(["done"] * k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), *(pa.array(c, t) for c, t in zip(cols, TYPES, strict=True))], NAMES)
 
 
 def ends(first: Row, last: Row, pid: int, id_type: pa.DataType) -> pa.RecordBatch:
     """The first and the last document of a partition, which others need or which need others."""
     two = [first, last]
-    none = [pa.nulls(2, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+    none = [pa.nulls(2, t) for t in TYPES]
     return pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in two], id_type), pa.array([pid, pid], pa.int32()), pa.array(["first", "last"], pa.string()), pa.array([r.copies for r in two], pa.int64()), pa.array([r.text for r in two], pa.string()), *none], NAMES)
 
 
@@ -247,7 +249,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     seams = last.join(first, "next_pid").select("doc_id", "copies", "text", "next_text")
     seams = seams.mapInArrow(partial(_seam, id_type=arrow), f"doc_id {kind}, pid int, role string, copies long, text string, {OUT}")
     columns = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
-    return found.where("role = 'done'").select(*columns).unionByName(seams.select(*columns))
+    every = found.where("role = 'done'").select(*columns).unionByName(seams.select(*columns))
+    pieces = lambda c: F.regexp_extract_all(c, F.lit("[0-9a-f]{8}"), F.lit(0))
+    stay = F.filter(F.zip_with(pieces(F.substring_index("fingerprint", ":", -1)), F.col("kept"), lambda s, k: F.when(k, s)), lambda s: s.isNotNull())
+    edited = F.transform(F.array(F.array_sort(F.concat(stay, pieces(F.col("added"))))), lambda s: F.concat(F.size(s), F.lit(":"), F.array_join(s, "")))[0]
+    return every.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited.alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 # ---- fingerprints of all documents compared --------------------------------------------------------------------------

@@ -466,6 +466,7 @@ def test_fingerprints_by_brute_force(spark, texts):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         new = plain_signatures(e)
         assert (len(spotsigs.signatures_of(r.fingerprint)), len(spotsigs.signatures_of(r.edited_fingerprint))) == (len(plain[d]), len(new))
+        assert r.edited_fingerprint == spotsigs.text_of(next(spotsigs.signatures(pa.array([e]))))
         assert abs(r.near_edited - like(plain[d], new)) < 1e-12 and abs(r.near_next - like(plain[d], plain[after])) < 1e-12
     long = [d for d in order if len(texts[d]) > 200]
     assert all(got[d].near_edited > 0.2 for d in long) and sum(got[d].near_edited > 0.5 for d in long) > 0.9 * len(long)
