@@ -18,11 +18,13 @@ def hashing_embedder(dimension: int = 64) -> Embedder:
     from zlib import crc32
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                h = crc32(word.encode())
-                row[h % dimension] += 1.0 if h >> 16 & 1 else -1.0
+        # Words are hashed once each; sums are made for all texts at once.
+        split = [text.lower().split() for text in texts]
+        hashes = {w: crc32(w.encode()) for w in set().union(*split)}
+        h = np.fromiter((hashes[w] for words in split for w in words), np.int64)
+        row = np.repeat(np.arange(len(split)), [len(words) for words in split])
+        signs = np.where(h >> 16 & 1, 1.0, -1.0)
+        out = np.bincount(row * dimension + h % dimension, signs, len(split) * dimension).reshape(len(split), dimension).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -161,3 +161,33 @@ def coalesce_path(*names: Column) -> Column:
 def in_namespace(package: Column, prefix: str) -> Column:
     """The namespace itself or one below it, parts between backslashes."""
     return F.coalesce((package == prefix) | package.startswith(prefix + "\\"), F.lit(False))
+
+
+def heading_level(tag: Column) -> Column:
+    """1 to 6 for h1 to h6 (of either case), else 0."""
+    return F.when(F.lower(tag).rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int")).otherwise(0)
+
+
+def first_character(text: Column) -> Column:
+    """The first code point; empty for an empty text."""
+    return F.substring(text, 1, 1)
+
+
+def doc_examples(doc: Column) -> Column:
+    """array<string>: the indented lines of a comment after `Example:`, `Usage:` or a Go code fence, up to a fence or an empty line after them.
+
+    A fold over the lines: what is open, what it holds, what is finished. One level of indentation is taken off.
+    """
+    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        bare = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+        begins = bare.startswith("Example:") | bare.startswith("Usage:") | bare.contains("```go")
+        ends = s["open"] & (bare.contains("```") | ((bare == "") & (s["held"] != "")))
+        code = s["open"] & line.rlike("^(    |\t)")
+        done = F.when(ends & ~begins & (s["held"] != ""), F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])
+        held = F.when(begins | ends, "").when(code, F.concat(s["held"], F.regexp_replace(line, "^(    \t?|\t)", ""), F.lit("\n"))).otherwise(s["held"])
+        return F.struct((begins | (s["open"] & ~ends)).alias("open"), held.alias("held"), done.alias("out"))
+
+    # An empty line at the end closes what the comment leaves open.
+    return F.aggregate(F.split(F.concat(doc, F.lit("\n")), "\n", -1), start, step, lambda s: s["out"])

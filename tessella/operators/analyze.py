@@ -21,10 +21,36 @@ _TYPES = {"start_line": pa.int32(), "end_line": pa.int32(), "selection_start_lin
 MARKDOWN_BYTES = 1000
 
 
+def read_one(analyzer: Callable[[str, str], list[dict]], path: str | None, content: str | None) -> tuple[list[dict], str | None]:
+    """(chunks, error): a file that its analyzer can't read has no chunks and an error."""
+    try:
+        return analyzer(path or "", content or ""), None
+    except (IndexError, StopIteration, ValueError, RecursionError) as e:  # text that isn't of the language
+        return [], f"{type(e).__name__}: {e}"
+
+
+def rejected(files: DataFrame, language: str | None = None) -> DataFrame:
+    """(path, language, error) of the files that analyze() can't read."""
+    table = dict(ANALYZERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, lang, read_one(table[lang], p, content)[1]) for p, content, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            rows = [r for r in rows if r[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "language", "error"])
+
+    return analyzable(files, language).mapInArrow(run, "path string, language string, error string")
+
+
+def analyzable(files: DataFrame, language: str | None) -> DataFrame:
+    lang = F.lit(language) if language else P.lookup(P.extension(F.col("path")), P.SCAN_LANGUAGES)
+    return files.select("path", F.col("content").cast("string").alias("content"), lang.alias("lang")).where(F.col("lang").isin(*ANALYZERS))
+
+
 def analyze(files: DataFrame, language: str | None = None) -> DataFrame:
     """Chunks of files(path, content), each by the analyzer of its path's language or of the one given.
 
-    A file that its analyzer can't read gives nothing. Files are independent, so partitions are; nothing is shuffled.
+    A file that its analyzer can't read gives nothing here; rejected() tells which these are. Files are independent, so partitions are; nothing is shuffled.
     """
     table = dict(ANALYZERS)
 
@@ -34,15 +60,11 @@ def analyze(files: DataFrame, language: str | None = None) -> DataFrame:
                 part = b.slice(lo, 256)
                 rows = []
                 for path, content, lang in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    try:
-                        rows += table[lang](path or "", content or "") if lang in table else []
-                    except (IndexError, StopIteration, ValueError, RecursionError):
-                        continue  # text that isn't of the language
+                    rows += read_one(table[lang], path, content)[0]
                 arrays = [pa.array([list(r[f].items()) if f == "metadata" else r[f] for r in rows], _TYPES.get(f, pa.string())) for f in FIELDS]
                 yield pa.RecordBatch.from_arrays(arrays, FIELDS)
 
-    lang = F.lit(language) if language else P.lookup(P.extension(F.col("path")), P.SCAN_LANGUAGES)
-    return files.select("path", F.col("content").cast("string").alias("content"), lang.alias("lang")).where(F.col("lang").isin(*table)).mapInArrow(run, CHUNK)
+    return analyzable(files, language).mapInArrow(run, CHUNK)
 
 
 def markdown_pieces(text: Column, most: int = MARKDOWN_BYTES) -> Column:

@@ -328,16 +328,44 @@ def target(arg: list[Token], source: str, imports: dict[str, str]) -> tuple[str,
     return "Closure", ""
 
 
+def prefixes(toks: list[Token]) -> list[tuple[int, int, str]]:
+    """(first token, last token, prefix) of every group of routes: Route::prefix('x')->...->group(...) or Route::group(['prefix' => 'x'], ...)."""
+    out = []
+    for i in range(len(toks) - 3):
+        if toks[i].text != "Route" or toks[i + 1].text != "::" or toks[i + 3].text != "(":
+            continue
+        at, found = i + 2, ""
+        while at + 1 < len(toks) and toks[at + 1].text == "(":
+            end = matching(toks, at + 1)
+            if toks[at].text == "prefix" and toks[at + 2].kind == "string":
+                found = toks[at + 2].text[1:-1]
+            elif toks[at].text == "group":
+                for j in range(at + 2, min(end, len(toks) - 2)):
+                    if toks[j].text in ("function", "fn"):
+                        break
+                    if toks[j].kind == "string" and toks[j].text[1:-1] == "prefix" and toks[j + 1].text == "=>" and toks[j + 2].kind == "string":
+                        found = toks[j + 2].text[1:-1]
+                out.append((at, end, found.strip("/")))
+            if end + 1 >= len(toks) or toks[end + 1].text not in ("->", "?->"):
+                break
+            at = end + 2
+    return out
+
+
 def routes(p: Parser) -> list[dict]:
-    """Routes that a file declares by Route::verb(...). Prefixes of groups aren't applied."""
+    """Routes that a file declares by Route::verb(...), below the prefixes of the groups around them."""
     out, toks = [], p.toks
+    groups = prefixes(toks)
     for i in range(len(toks) - 3):
         if toks[i].text != "Route" or toks[i + 1].text != "::" or toks[i + 3].text != "(":
             continue
         verb, args = toks[i + 2].text, split_top(toks[i + 4 : matching(toks, i + 3)])
         line = toks[i].line
 
-        def add(method: str, uri: str, to: tuple[str, str], line: int = line) -> None:
+        around = [g for lo, hi, g in groups if lo < i < hi and g]
+
+        def add(method: str, uri: str, to: tuple[str, str], line: int = line, around: list[str] = around) -> None:
+            uri = "/" + "/".join(x for x in (*around, uri.strip("/")) if x) if around else uri
             out.append({"method": method, "uri": uri, "controller": to[0], "action": to[1], "middleware": [], "file_path": p.path, "line": line, "description": f"Route {method} {uri} -> {to[0]}" + (f"@{to[1]}" if to[1] else "")})
 
         if verb in ROUTE_VERBS and args:

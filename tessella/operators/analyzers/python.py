@@ -120,11 +120,11 @@ def properties(methods: list) -> list[dict]:
 
 
 def analyze(path: str, content: str) -> list[dict]:
-    """Classes, methods, properties, functions, constants and variables of a module; nothing for a text that isn't Python."""
+    """Classes, methods, properties, functions, constants and variables of a module; a ValueError for a text that isn't Python."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+    except SyntaxError as e:
+        raise ValueError(f"line {e.lineno}: {e.msg}") from e
     package, out = module_name(path), []
     base = {"language": LANGUAGE, "path": path, "package": package}
 

@@ -42,3 +42,12 @@ def resource_controllers(methods: DataFrame, least: int = 4) -> DataFrame:
     """(class, is_resource): whether a class has at least so many of the seven resource actions among methods(class, method)."""
     hit = F.when(F.col("method").isin(RESOURCE_ACTIONS), F.col("method"))
     return methods.groupBy("class").agg((F.size(F.collect_set(hit)) >= least).alias("is_resource"))
+
+
+def route_handlers(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """routes(controller, action, ...) of all files with the file and first line of the method that handles them, null where there is none.
+
+    symbols: methods (full_name of their class, name, file_path, start_line). An equi-join over all files, however they were dealt to batches.
+    """
+    handlers = symbols.groupBy(F.col("full_name").alias("controller"), F.col("name").alias("action")).agg(F.min(F.struct("file_path", "start_line")).alias("h"))
+    return routes.join(handlers, ["controller", "action"], "left").select(*routes.columns, F.col("h.file_path").alias("handler_file"), F.col("h.start_line").alias("handler_line"))

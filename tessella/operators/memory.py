@@ -27,3 +27,14 @@ def transcripts(messages: DataFrame) -> DataFrame:
     """(conv_id, transcript): lines `[role]: text` in order."""
     said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.concat(F.lit("["), m["role"], F.lit("]: "), m["text"], F.lit("\n")))
     return messages.groupBy("conv_id").agg(F.array_join(said, "").alias("transcript"))
+
+
+def state(changes: DataFrame, at: str = "turn") -> DataFrame:
+    """(conv_id, key, value, changes): of changes(conv_id, key, value, turn), each key's last value and how often it was set."""
+    return changes.groupBy("conv_id", "key").agg(F.max_by("value", F.struct(at, "value")).alias("value"), F.count(F.lit(1)).alias("changes"))
+
+
+def history(changes: DataFrame, at: str = "turn") -> DataFrame:
+    """changes with the value that each replaced (null for the first)."""
+    w = Window.partitionBy("conv_id", "key").orderBy(at, "value")
+    return changes.withColumn("before", F.lag("value").over(w))

@@ -47,16 +47,18 @@ def hybrid_search(rows: DataFrame, query: list[float] | Column, text: str, limit
 
 
 def usages(rows: DataFrame, symbol: str, package: str = "", key: str = "id") -> DataFrame:
-    """Chunks whose code holds the symbol as text, without chunks of that name: occurrences and a snippet, most first.
+    """Chunks whose code holds the symbol as text, without chunks of that name: occurrences and a snippet in place of the code, most first.
 
     One row for each file, name and first line. All chunks are searched.
     """
     found = rows.where((F.col("name") != symbol) & F.col("code").contains(symbol))
     if package:
         found = found.where(F.col("package").contains(package))
-    w = Window.partitionBy("file", "name", "start_line").orderBy(key)
-    found = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # Code stays where it is read: only what is told of it is dealt, and of each place the first is found on the map side.
     found = found.withColumn("occurrences", T.occurrences(F.col("code"), F.lit(symbol))).withColumn("snippet", T.snippet(F.col("code"), F.lit(symbol)))
+    place = ["file", "name", "start_line"]
+    rest = [c for c in found.columns if c not in ("code", *place)]
+    found = found.groupBy(*place).agg(F.min_by(F.struct(*rest), key).alias("_first")).select(*place, "_first.*")
     return found.orderBy(F.desc("occurrences"), "file", "start_line", key)
 
 

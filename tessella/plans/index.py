@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tessella.operators import analyze as A
 from tessella.operators import incremental as I
 from tessella.plans.shared import materialize
 from tessella.sources import files as S
-from tessella.sources.store import Store, valid
+from tessella.sources.store import PARTITIONS, Store, valid
 
 
 @dataclass(frozen=True)
@@ -54,28 +55,99 @@ def chunk_rows(files: DataFrame, workspace: str, config: Config, embedder=None)
 
 
 def index_workspace(spark: SparkSession, root: str, path: str, config: Config | None = None, embedder=None) -> dict[str, int]:
-    """Indexes what has changed below root into the table at path; returns the number of files by change.
-
-    The state of files lies beside the table and is written after it: a job that fails in between is repeated from the
-    older state, and its rows replace those of the same files. Deleted and modified files' rows go. One writer at a time.
-    """
+    """Indexes what has changed below root into the table at path; returns the number of files by change."""
     config = config or Config.load()
-    table, state_path = Store(spark, f"{path}/chunks"), f"{path}/state"
-    scan = S.classify(S.scan(spark, root)).where("language <> ''")
+    scan = S.scan(spark, root)
     if config.exclude:
         scan = scan.where(~P.excluded(F.col("path"), config.exclude))
-    state = spark.read.parquet(state_path) if Store(spark, state_path).exists() else spark.createDataFrame([], "path string, mod_time timestamp, size long")
+    workspace = spark.range(1).select(P.workspace_id(F.lit(root))).first()[0]
+    return index_files(spark, scan, path, workspace, config, embedder)
+
+
+def index_files(spark: SparkSession, files: DataFrame, path: str, workspace: str, config: Config | None = None, embedder=None) -> dict[str, int]:
+    """Indexes files(path, mod_time, size, content) of a workspace, as index_workspace() does those of a folder.
+
+    Only the partitions (workspace and language) of added, modified and deleted files are read and written anew; the state of files lies
+    beside the table and is written after it: a job that fails in between is repeated from the older state, and its rows
+    replace those of the same files. Deleted and modified files' rows go. One writer at a time (see IndexFlag).
+    """
+    config = config or Config.load()
+    table, states = Store(spark, f"{path}/chunks"), Store(spark, f"{path}/state/{workspace}")
+    scan = S.classify(files).where("language <> ''")
+    state = states.read() if states.exists() else spark.createDataFrame([], "path string, mod_time timestamp, size long")
     changes = materialize(I.diff(scan, state), "changes")
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     if set(counts) <= {"unchanged"}:
         return counts
-    workspace = spark.range(1).select(P.workspace_id(F.lit(root))).first()[0]
+    language = P.lookup(P.extension(F.col("path")), P.SCAN_LANGUAGES)
+    touched = [r[0] for r in changes.where("change <> 'unchanged'").select(language).distinct().collect()]  # a handful of languages
     fresh = scan.join(changes.where("change IN ('added', 'modified')").select("path"), "path", "left_semi")
     rows = chunk_rows(fresh, workspace, config, embedder)
     if table.exists():
-        rows = I.purge(table.read(), changes).unionByName(rows, allowMissingColumns=True)
+        old = table.read().where((F.col("workspace_id") == workspace) & F.col("language").isin(touched))
+        rows = I.purge(old, changes).unionByName(rows, allowMissingColumns=True)
     rows = materialize(rows, "chunks")
-    gone = table.exists() and table.read().select("workspace_id", "language").distinct().exceptAll(rows.select("workspace_id", "language").distinct()).count()
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if gone else "dynamic").partitionBy("workspace_id", "language").parquet(table.path)
-    materialize(I.next_state(changes), "state").write.mode("overwrite").parquet(state_path)
+    table.replace(rows)
+    there = {r[0] for r in rows.select("language").distinct().collect()}
+    for gone in set(touched) - there:
+        Store(spark, f"{table.path}/workspace_id={workspace}/language={gone}").drop()
+    materialize(I.next_state(changes), "state").write.mode("overwrite").parquet(states.path)
     return counts
+
+
+def acquire(spark: SparkSession, path: str, workspace: str, language: str, most: int) -> bool:
+    """Whether the collection (workspace, language) is in the table at path already; an error if it isn't and `most` collections are."""
+    table = Store(spark, f"{path}/chunks")
+    known = table.read().select(*PARTITIONS).distinct() if table.exists() else spark.createDataFrame([], "workspace_id string, language string")
+    there = not known.where((F.col("workspace_id") == workspace) & (F.col("language") == language)).isEmpty()
+    if not there and known.limit(most).count() >= most:
+        raise ValueError(f"{most} collections are indexed; no other is taken")
+    return there
+
+
+class IndexFlag:
+    """Tells that a workspace is being indexed: a file that only one job can create."""
+
+    def __init__(self, spark: SparkSession, path: str, workspace: str) -> None:
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/indexing/{workspace}")
+        self.store = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def start(self) -> bool:
+        """True for the one who set the flag."""
+        try:
+            return bool(self.store.createNewFile(self.path))
+        except Py4JJavaError:
+            return False
+
+    def is_indexing(self) -> bool:
+        return bool(self.store.exists(self.path))
+
+    def stop(self) -> None:
+        self.store.delete(self.path, False)
+
+
+def ensure_indexed(spark: SparkSession, files: DataFrame, path: str, workspace: str, config: Config | None = None, embedder=None) -> str:
+    """Indexes a workspace of which nothing is stored: "indexed", "there" or, while another job does it, "indexing"."""
+    flag = IndexFlag(spark, path, workspace)
+    if Store(spark, f"{path}/state/{workspace}").exists():
+        return "there"
+    if not flag.start():
+        return "indexing"
+    try:
+        index_files(spark, files, path, workspace, config, embedder)
+    finally:
+        flag.stop()
+    return "indexed"
+
+
+def index_all(spark: SparkSession, roots: list[str], path: str, config: Config | None = None, embedder=None, recreate: bool = False) -> dict[str, dict[str, int] | str]:
+    """Indexes several folders, each as a workspace of its own: counts by change, or the error, of each. recreate: from nothing."""
+    if recreate:
+        Store(spark, path).drop()
+    out: dict[str, dict[str, int] | str] = {}
+    for root in roots:
+        try:
+            out[root] = index_workspace(spark, root, path, config, embedder)
+        except Exception as e:  # one folder's failure doesn't keep the others from being indexed
+            out[root] = f"{type(e).__name__}: {e}".splitlines()[0]
+    return out

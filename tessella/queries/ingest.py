@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import incremental as I
 from tessella.plans.registry import query
-from tessella.queries.scalar import FILE_SQL, files, skip_sql
+from tessella.queries.scalar import EXT_SQL, FILE_SQL, case, files, skip_sql
 from tessella.functions import paths as P
 from tessella.sources import files as S
 from tessella.sources import store
@@ -67,11 +67,11 @@ def incremental_apply(t):
     return I.apply(chunks(t), I.diff(now(t), saved(t)), made)
 
 
-@query("upsert_latest", """WITH w AS (SELECT doc_id % 200 AS id, doc_id AS v FROM documents WHERE doc_id % 2 = 0), l AS (SELECT id, max(v) AS v FROM w GROUP BY id)
- SELECT id, v FROM l UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id < 300 AND doc_id NOT IN (SELECT id FROM l)""")
+@query("upsert_latest", """WITH l AS (SELECT doc_id // 2 AS id, max(doc_id) AS v FROM documents GROUP BY 1)
+ SELECT id, v FROM l UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT id FROM l)""")
 def upsert_latest(t):
-    base = t("documents").where("doc_id < 300").select(F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("v"))
-    news = t("documents").where("doc_id % 2 = 0").select((F.col("doc_id") % 200).alias("id"), F.col("doc_id").alias("v"))
+    base = t("documents").select(F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("v"))
+    news = t("documents").select(F.expr("doc_id div 2").alias("id"), F.col("doc_id").alias("v"))
     return store.upsert(base, news, "id", "v")
 
 
@@ -92,9 +92,11 @@ def delete_by_id(t):
     return store.delete_keys(t("documents").select("doc_id"), t("labels").select("doc_id"), "doc_id")
 
 
-@query("scan_fingerprint", f"SELECT count(*) AS n FROM {FILE_SQL} WHERE NOT ({skip_sql(P.SCAN_SKIPS)})")
+@query("scan_fingerprint", f"""WITH f AS (SELECT path, {case(EXT_SQL, P.SCAN_LANGUAGES, repr(''))} AS language, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM {FILE_SQL} WHERE NOT ({skip_sql(P.SCAN_SKIPS)})),
+ x AS (SELECT DISTINCT 'dir|' || language || '|' || dir AS x FROM f WHERE language NOT IN ('', 'markdown') UNION ALL SELECT DISTINCT 'doc|' || path FROM f WHERE language = 'markdown')
+ SELECT md5((SELECT coalesce(sum(('0x' || md5(x)[1:15])::HUGEINT), 0) FROM x)::VARCHAR || ':' || count(*)) AS fingerprint, count(*) AS n FROM f""")
 def scan_fingerprint(t):
-    return S.fingerprint(files(t)).select("n")
+    return S.fingerprint(files(t))
 
 
 @query("needs_reindex", "SELECT true AS changed, false AS same")
@@ -127,3 +129,85 @@ def embed_hashing(t):
     from tessella.functions.embed import embed
 
     return t("documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+
+
+@query("memory_store", "SELECT doc_id AS id, lang FROM documents WHERE doc_id % 3 <> 0 AND lang <> 'en'")
+def memory_store(t):
+    rows = t("documents").select(F.col("doc_id").alias("id"), "lang", F.array(F.lit(1.0)).alias("embedding"))
+    held = store.MemoryStore(rows.limit(0))
+    held.store(rows)
+    held.store(rows.where("doc_id % 2 = 0"))
+    held.delete(rows.where("id % 3 = 0"))
+    held.delete_by_metadata("lang", "en")
+    return held.rows.select("id", "lang")
+
+
+@query("store_lifecycle", "SELECT * FROM (SELECT 'before' AS step, false AS there, 0 AS points UNION ALL SELECT 'created', true, count(*) FROM documents UNION ALL SELECT 'created again', true, count(*) FROM documents UNION ALL SELECT 'clear refused', true, count(*) FROM documents UNION ALL SELECT 'dropped', false, 0)")
+def store_lifecycle(t):
+    from tessella.plans.shared import fresh_path
+
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.array(F.lit(1.0)).alias("embedding"), F.lit("w").alias("workspace_id"), F.col("lang").alias("language"))
+    spark = rows.sparkSession
+    held, told = store.Store(spark, fresh_path(spark, "store")), []
+    note = lambda step: told.append((step, held.exists(), held.read().count() if held.exists() else 0))
+    note("before")
+    held.create(rows)
+    note("created")
+    held.create(rows.limit(1))
+    note("created again")
+    try:
+        held.clear()
+    except NotImplementedError:
+        note("clear refused")
+    held.drop()
+    note("dropped")
+    return spark.createDataFrame(told, "step string, there boolean, points long")
+
+
+@query("config_load", "SELECT * FROM (VALUES ('dimension', '32'), ('search_limit', '9'), ('exclude', 'a,b'), ('markdown_bytes', '1000'), ('debounce_seconds', '5')) AS v(name, value)")
+def config_load(t):
+    from tessella.plans.index import Config
+
+    config = Config.load({"dimension": 32, "search_limit": 7}, {"TESSELLA_SEARCH_LIMIT": "9", "TESSELLA_EXCLUDE": "a, b", "HOME": "/"})
+    rows = [(n, ",".join(v) if isinstance(v, list) else str(v)) for n in ("dimension", "search_limit", "exclude", "markdown_bytes", "debounce_seconds") for v in [getattr(config, n)]]
+    return t("region").sparkSession.createDataFrame(rows, "name string, value string")
+
+
+@query("embed_retry", "SELECT doc_id, length(text)::FLOAT AS size FROM documents")
+def embed_retry(t):
+    """An embedder that fails at every first call."""
+    from tessella.functions.embed import embed
+
+    calls: list[int] = []
+
+    def flaky(texts):
+        import numpy as np
+
+        calls.append(1)
+        if len(calls) % 2:
+            raise ConnectionError("not yet")
+        return np.array([[len(x)] for x in texts], np.float32)
+
+    return t("documents").select("doc_id", F.element_at(embed(F.col("text"), flaky, 1), 1).alias("size"))
+
+
+@query("index_workspace", """SELECT * FROM (SELECT 'first added' AS what, count(*) AS n FROM documents UNION ALL SELECT 'again unchanged', count(*) FROM documents UNION ALL SELECT 'later deleted', count(*) FROM documents WHERE doc_id % 11 = 0
+ UNION ALL SELECT 'later modified', count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 5 = 0 UNION ALL SELECT 'later unchanged', count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0
+ UNION ALL SELECT 'go points', 4 * count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 2 = 0 UNION ALL SELECT 'markdown points', count(*) FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 2 = 1) WHERE n > 0""")
+def index_workspace(t):
+    """Go and Markdown files indexed, again without changes, and again with some gone and some changed."""
+    from tessella.plans.index import index_files
+    from tessella.plans.shared import fresh_path
+    from tessella.queries.structure import go_files
+
+    n = F.col("doc_id")
+    go = go_files(t).where(n % 2 == 0).select("doc_id", "path", "content")
+    rows = go.union(t("documents").where(n % 2 == 1).select("doc_id", F.concat(F.lit("/w/m"), n, F.lit(".md")), F.lit("# One paragraph")))
+    rows = rows.select("doc_id", "path", at("2024-01-02").cast("timestamp").alias("mod_time"), F.length("content").cast("long").alias("size"), "content")
+    later = rows.where(n % 11 != 0).withColumn("size", F.when(n % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    spark, told = rows.sparkSession, []
+    path = fresh_path(spark, "indexed")
+    for name, files_now in (("first", rows), ("again", rows), ("later", later)):
+        told += [(f"{name} {k}", v) for k, v in index_files(spark, files_now.drop("doc_id"), path, "w").items()]
+    points = store.collections(store.Store(spark, f"{path}/chunks").read())
+    return spark.createDataFrame(told, "what string, n long").union(points.select(F.concat("language", F.lit(" points")), "points"))

@@ -150,10 +150,10 @@ def truncate_bytes(t):
     return t("documents").select("doc_id", T.truncate_bytes(F.col("text"), 400).alias("head")).select("doc_id", F.octet_length("head").cast("long").alias("bytes"), "head")
 
 
-@query("embed_text", "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE '  ' END, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END, CASE WHEN doc_id % 10 = 5 THEN '' ELSE lang END], lambda x: coalesce(trim(x), '') <> ''), chr(10) || chr(10)) AS embed FROM documents WHERE NOT (doc_id % 10 = 5)")
+@query("embed_text", "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN text ELSE '  ' END, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END, CASE WHEN doc_id % 10 = 5 THEN '' ELSE lang END], lambda x: coalesce(trim(x), '') <> ''), chr(10) || chr(10)) AS embed FROM documents WHERE NOT (doc_id % 10 = 5)")
 def embed_text(t):
     d = t("documents")
-    doc = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(20))).otherwise("  ")
+    doc = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("  ")
     sig, code = F.when(F.col("doc_id") % 5 != 0, F.col("source")), F.when(F.col("doc_id") % 10 == 5, "").otherwise(F.col("lang"))
     return d.select("doc_id", T.embed_text(doc, sig, code).alias("embed")).where("embed IS NOT NULL")
 
@@ -178,9 +178,9 @@ def package_filter(t):
 TOKENS = ["the", "that", "of"]
 
 
-@query("query_tokens", r"SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, 200)), '\s+'), lambda x: x <> '') AS tokens FROM documents")
+@query("query_tokens", r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS tokens FROM documents")
 def query_tokens(t):
-    return t("documents").select("doc_id", T.tokens(F.left("text", F.lit(200))).alias("tokens"))
+    return t("documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
 @query("lexical_score", "SELECT doc_id, " + " + ".join(f"((length(text) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for w in TOKENS) + "::DOUBLE AS lexical FROM documents")
@@ -268,9 +268,9 @@ def relation_return_type(t):
     return t("part").select("p_partkey", T.relation_return_type(kind, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("App\\"), "p_brand"))).alias("type"))
 
 
-@query("indent_width", r"SELECT doc_id, length(replace(regexp_extract(l, '^[ \t]*', 0), chr(9), '    ')) AS width FROM (SELECT doc_id, repeat(chr(9), (doc_id % 3)::INT) || repeat(' ', (doc_id % 4)::INT) || left(text, 5) AS l FROM documents)")
+@query("indent_width", r"SELECT doc_id, length(replace(regexp_extract(l, '^[ \t]*', 0), chr(9), '    ')) AS width FROM (SELECT doc_id, repeat(chr(9), (doc_id % 3)::INT) || repeat(' ', (doc_id % 4)::INT) || text AS l FROM documents)")
 def indent_width(t):
-    line = F.concat(F.repeat(F.lit("\t"), (F.col("doc_id") % 3).cast("int")), F.repeat(F.lit(" "), (F.col("doc_id") % 4).cast("int")), F.left("text", F.lit(5)))
+    line = F.concat(F.repeat(F.lit("\t"), (F.col("doc_id") % 3).cast("int")), F.repeat(F.lit(" "), (F.col("doc_id") % 4).cast("int")), F.col("text"))
     return t("documents").select("doc_id", T.indent_width(line).alias("width"))
 
 
@@ -280,9 +280,9 @@ def base_type(t):
     return t("documents").select("doc_id", T.base_type(kind).alias("base"))
 
 
-@query("split_csv", "SELECT doc_id, list_filter(list_transform(string_split(left(text, 120), ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents")
+@query("split_csv", "SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents")
 def split_csv(t):
-    return t("documents").select("doc_id", T.split_csv(F.left("text", F.lit(120))).alias("items"))
+    return t("documents").select("doc_id", T.split_csv(F.col("text")).alias("items"))
 
 
 @query("fnv_id", """WITH RECURSIVE k AS (SELECT doc_id, encode(source || ':' || lang || ':' || doc_id) AS b FROM documents),
@@ -298,3 +298,46 @@ def chunk_json(t):
     from tessella.operators.chunks import go_json
 
     return t("documents").select("doc_id", go_json(F.to_json(F.struct(F.lit("function").alias("Type"), F.col("source").alias("Name"), F.lit("").alias("Package"), F.col("lang").alias("Language"), F.lit("a<b").alias("FilePath"), F.col("doc_id").alias("StartLine"), (F.col("doc_id") + 2).alias("EndLine")))).alias("json"))
+
+
+HEADING = "['h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p', 'hr'][1 + doc_id % 8]"
+
+
+@query("heading_level", f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN {HEADING}[2]::INT ELSE 0 END AS level FROM documents")
+def heading_level(t):
+    tag = F.element_at(F.array(*map(F.lit, ["h1", "H2", "h3", "h4", "h5", "h6", "p", "hr"])), (F.col("doc_id") % 8 + 1).cast("int"))
+    return t("documents").select("doc_id", T.heading_level(tag).alias("level"))
+
+
+@query("first_character", "SELECT doc_id, text[1] AS first FROM documents")
+def first_character(t):
+    return t("documents").select("doc_id", T.first_character(F.col("text")).alias("first"))
+
+
+@query("doc_examples", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [] WHEN doc_id % 3 = 1 THEN ['Run(' || doc_id || ')' || chr(10) || 'more' || chr(10)] ELSE ['a' || doc_id || chr(10), 'b' || chr(10)] END AS examples FROM documents")
+def doc_examples(t):
+    n = F.col("doc_id").cast("string")
+    one = F.concat(F.lit("Runs.\n\nExample:\n    Run("), n, F.lit(")\n    \tmore\n\nEnd."))
+    two = F.concat(F.lit("Usage:\n\ta"), n, F.lit("\n\n```go\n    b\n```\n    no example"))
+    doc = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Plain "), n, F.lit("\n    indented"))).when(F.col("doc_id") % 3 == 1, one).otherwise(two)
+    return t("documents").select("doc_id", T.doc_examples(doc).alias("examples"))
+
+
+@query("resolve_path", """SELECT p.path, coalesce(CASE WHEN starts_with(p.path, '/') THEN a.path END, CASE WHEN NOT starts_with(p.path, '/') THEN coalesce(b.path, c.path) END) AS resolved FROM
+ (SELECT CASE WHEN doc_id % 4 = 0 THEN '/w/m' || doc_id WHEN doc_id % 4 = 1 THEN 'm' || doc_id WHEN doc_id % 4 = 2 THEN 'x/m' || doc_id ELSE 'none' || doc_id END AS path FROM documents) p
+ LEFT JOIN (SELECT '/w/m' || doc_id AS path FROM documents WHERE doc_id % 8 <> 0) a ON a.path = p.path LEFT JOIN (SELECT '/w/m' || doc_id AS path FROM documents WHERE doc_id % 8 <> 0) b ON b.path = '/w/' || p.path LEFT JOIN (SELECT '/x/m' || doc_id AS path FROM documents) c ON c.path = '/' || p.path""")
+def resolve_path(t):
+    from tessella.sources.files import resolve_paths
+
+    n = F.col("doc_id")
+    asked = t("documents").select(F.when(n % 4 == 0, F.concat(F.lit("/w/m"), n)).when(n % 4 == 1, F.concat(F.lit("m"), n)).when(n % 4 == 2, F.concat(F.lit("x/m"), n)).otherwise(F.concat(F.lit("none"), n)).alias("path"))
+    entries = t("documents").where(n % 8 != 0).select(F.concat(F.lit("/w/m"), n).alias("path")).union(t("documents").select(F.concat(F.lit("/x/m"), n)))
+    return resolve_paths(asked, entries, ["/w", "/"])
+
+
+@query("tool_parameters", "SELECT * FROM (VALUES ('search_code', 'query', 'string', true, ''), ('search_code', 'limit', 'number', false, '5'), ('find_implementations', 'symbol_name', 'string', true, ''), ('get_code_context', 'context_lines', 'number', false, '5')) AS v(tool, parameter, kind, required, default_value)")
+def tool_parameters(t):
+    from tessella.plans.tools import schemas
+
+    rows = schemas(t("region").sparkSession)
+    return rows.where("(tool, parameter) IN (('search_code', 'query'), ('search_code', 'limit'), ('find_implementations', 'symbol_name'), ('get_code_context', 'context_lines'))")

@@ -41,9 +41,11 @@ def stream_file_events(t):
     return spark.read.schema(events.schema).parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_debounce")
+@query("stream_debounce", """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e), b AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS events FROM g GROUP BY user_id, k)
+ SELECT user_id, epoch_us(start) AS start_us, epoch_us(last) AS last_us, events FROM b WHERE last + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
 def stream_debounce(t):
-    """Bursts from a stream; those still open under the watermark aren't emitted yet."""
+    """Bursts from a stream: those that the watermark has passed at the end; the ones still open aren't emitted yet."""
     events = t("events")
     spark = events.sparkSession
     source = fresh_path(spark, "event-source")
@@ -52,4 +54,4 @@ def stream_debounce(t):
     bursts = W.debounce(W.read_events(spark, source, events.schema), "10 minutes")
     q = bursts.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(out)
+    return spark.read.schema(bursts.schema).parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")

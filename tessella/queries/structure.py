@@ -240,3 +240,34 @@ def php_exports(t):
 
     rows = A.analyze(php_files(t)).withColumn("id", F.col("file_path"))
     return S.exports(rows, "App\\Models7", kind="class", php=True).select("type", "name")
+
+
+@query("go_code", r"""SELECT '/w/m' || doc_id || '.go' AS file_path, u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('Run' || doc_id, 'func Run' || doc_id || '(a, b int) error { return nil }'), ('T' || doc_id, 'type T' || doc_id || ' struct {' || chr(10) || chr(9) || 'Name string' || chr(10) || '}'),
+ ('Do', 'func (t *T' || doc_id || ') Do(x string) (int, error) {' || chr(10) || chr(9) || 'return 0, nil' || chr(10) || '}'), ('C' || doc_id, doc_id::VARCHAR)) AS v(name, code)) AS u""")
+def go_code(t):
+    return A.analyze(go_files(t)).select("file_path", "name", "code")
+
+
+def app_files(t):
+    """Routes in one file, their controllers in another."""
+    n = F.col("doc_id").cast("string")
+    route = F.concat(F.lit("<?php\nuse App\\Http\\Controllers\\A"), n, F.lit("Controller;\nRoute::prefix('api')->group(function () {\n  Route::get('/u', [A"), n, F.lit("Controller::class, 'index']);\n  Route::group(['prefix' => '/v2'], function () {\n    Route::post('x', [A"), n, F.lit("Controller::class, 'none']);\n  });\n});\nRoute::put('/out', [A"), n, F.lit("Controller::class, 'up']);\n"))
+    code = F.concat(F.lit("<?php\nnamespace App\\Http\\Controllers;\nclass A"), n, F.lit("Controller extends Controller\n{\n    public function index() { return 1; }\n    public function up() { return 2; }\n}\n"))
+    routes = t("documents").select(F.concat(F.lit("/w/routes/r"), n, F.lit(".php")).alias("path"), route.alias("content"))
+    return routes.union(t("documents").select(F.concat(F.lit("/w/app/a"), n, F.lit(".php")), code))
+
+
+@query("route_handlers", r"""SELECT u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('GET', '/api/u', 'index', '/w/app/a' || doc_id || '.php', 5), ('POST', '/api/v2/x', 'none', NULL, NULL), ('PUT', '/out', 'up', '/w/app/a' || doc_id || '.php', 6)) AS v(method, uri, action, handler_file, handler_line)) AS u""")
+def route_handlers(t):
+    chunks = A.analyze(app_files(t))
+    routes = chunks.where("type = 'route'").select(meta("route", "struct<method:string,uri:string,controller:string,action:string>").alias("r")).select("r.*")
+    text = F.from_json(F.concat(F.lit('{"x":'), F.try_element_at("metadata", F.lit("class_name")), F.lit("}")), "x string")["x"]
+    methods = chunks.where("type = 'method'").select(F.concat("package", F.lit("\\"), F.coalesce(text, F.try_element_at("metadata", F.lit("class_name")))).alias("full_name"), "name", "file_path", "start_line")
+    return J.route_handlers(routes, methods).select("method", "uri", "action", "handler_file", "handler_line")
+
+
+@query("rejected_files", "SELECT '/w/m' || doc_id || '.py' AS path, 'python' AS language, true AS told FROM documents WHERE doc_id % 4 = 0")
+def rejected_files(t):
+    n = F.col("doc_id")
+    rows = t("documents").select(F.concat(F.lit("/w/m"), n, F.lit(".py")).alias("path"), F.when(n % 4 == 0, F.concat(F.lit("def f(:\n  x"), n)).otherwise(F.concat(F.lit("x = "), n)).alias("content"))
+    return A.rejected(rows).select("path", "language", (F.length("error") > 0).alias("told"))

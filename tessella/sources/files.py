@@ -32,16 +32,30 @@ def language_dirs(files: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """(fingerprint): a hash of the directories by language, the number of files and the names of documents.
+    """(fingerprint, n): a hash of the directories by language, the number of files and the names of documents.
 
-    Directories are hashed one by one, and the sum of the hashes is the whole's, so nothing is gathered in one place.
+    Directories are hashed one by one, and the sum of 60 bits of the hashes is the whole's, so nothing is gathered in one place.
     """
     kept = classify(files)
-    dirs = kept.where("language NOT IN ('', 'markdown')").select(F.xxhash64(F.lit("dir"), "language", P.directory(F.col("path"))).alias("h")).distinct()
-    docs = kept.where("language = 'markdown'").select(F.xxhash64(F.lit("doc"), "path").alias("h")).distinct()
-    parts = dirs.union(docs).select(F.col("h").cast("decimal(20,0)").alias("h"), F.lit(0).cast("long").alias("n"))
-    total = parts.union(kept.agg(F.lit(0).cast("decimal(20,0)"), F.count(F.lit(1)))).agg(F.sum("h").alias("s"), F.sum("n").alias("n"))
-    return total.select(F.hex(F.xxhash64(F.col("s").cast("string"), "n")).alias("fingerprint"), "n")
+    dirs = kept.where("language NOT IN ('', 'markdown')").select(F.concat_ws("|", F.lit("dir"), "language", P.directory(F.col("path"))).alias("x")).distinct()
+    docs = kept.where("language = 'markdown'").select(F.concat_ws("|", F.lit("doc"), "path").alias("x")).distinct()
+    number = F.conv(F.left(F.md5(F.col("x").cast("binary")), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    parts = dirs.union(docs).select(number.alias("h"), F.lit(0).cast("long").alias("n"))
+    total = parts.union(kept.agg(F.lit(0).cast("decimal(38,0)"), F.count(F.lit(1)))).agg(F.sum("h").alias("s"), F.sum("n").alias("n"))
+    return total.select(F.md5(F.concat_ws(":", F.col("s").cast("string"), "n").cast("binary")).alias("fingerprint"), "n")
+
+
+def resolve_paths(asked: DataFrame, entries: DataFrame, bases: list[str]) -> DataFrame:
+    """(path, resolved) of every row of asked(path): itself if absolute and among entries(path), else the first base below which it is; null if nowhere.
+
+    Bases are few and in order (the working directory, then the parents of the program); the paths that they make meet entries by an equi-join.
+    """
+    rows = asked.select("path", F.monotonically_increasing_id().alias("_row"))
+    made = F.array(*(F.concat(F.lit(b.rstrip("/") + "/"), "path") for b in bases))
+    tried = rows.select("_row", "path", F.posexplode(F.when(F.col("path").startswith("/"), F.array("path")).otherwise(made)).alias("_i", "_try"))
+    there = entries.select(F.col("path").alias("_try")).distinct().withColumn("_there", F.lit(True))
+    best = F.min(F.when(F.col("_there"), F.struct("_i", "_try")))
+    return tried.join(there, "_try", "left").groupBy("_row", "path").agg(best.alias("b")).select("path", F.col("b._try").alias("resolved"))
 
 
 def resources(files: DataFrame, root: str) -> DataFrame:

@@ -13,8 +13,11 @@ PARTITIONS = ["workspace_id", "language"]
 
 
 def upsert(base: DataFrame, news: DataFrame, key: str = "id", *newest: str) -> DataFrame:
-    """base with rows of news in place of those of the same key; of several new rows of a key, the newest one."""
-    order = [F.desc(c) for c in newest] or [F.lit(1)]
+    """base with rows of news in place of those of the same key; of several new rows of a key, the newest one.
+
+    Rows that are equally new are told apart by all their columns, so reruns agree.
+    """
+    order = [*(F.desc(c) for c in newest), F.desc(F.to_json(F.struct(*news.columns)))]
     last = news.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
     return base.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
@@ -73,3 +76,28 @@ class Store:
 
     def clear(self) -> None:
         raise NotImplementedError("a store isn't emptied in place; drop() it")
+
+
+class MemoryStore:
+    """A store of rows(id, ..., embedding) that lives in a session's DataFrame; nothing is written."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def store(self, rows: DataFrame, *newest: str) -> None:
+        self.rows = upsert(self.rows, valid(rows), "id", *newest)
+
+    def search(self, vector: list[float], limit: int) -> DataFrame:
+        """The nearest rows; none for a limit below 1."""
+        from tessella.operators.vector import top_k
+
+        return top_k(self.rows, vector, max(limit, 0))
+
+    def delete(self, keys: DataFrame) -> None:
+        self.rows = delete_keys(self.rows, keys, "id")
+
+    def delete_by_metadata(self, column: str, value) -> None:
+        self.rows = delete(self.rows, column, value)
+
+    def clear(self) -> None:
+        self.rows = self.rows.limit(0)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from tessella.operators.analyzers import go, html, php, python
 
 
@@ -10,13 +12,13 @@ def by_name(chunks):
 
 
 def test_go():
-    src = '// Package calc.\npackage calc\n\nimport "fmt"\n\n// Add adds.\nfunc Add(a, b int) int { return a + b }\n\ntype Calculator struct {\n\tName string\n}\n\ntype Config struct{}\n\nfunc (c *Calculator) Multiply(x, y float64) (float64, error) {\n\treturn x * y, nil\n}\n\nfunc New() *Calculator { return nil }\n\ntype Op interface {\n\tRun(x int) error\n}\n\nfunc hidden() {}\nvar V, w = 1, 2\n'
-    c = by_name(go.analyze("/x/calc.go", src))
-    assert set(c) == {("function", "Add"), ("type", "Calculator"), ("type", "Config"), ("method", "Multiply"), ("function", "New"), ("type", "Op"), ("var", "V")}
-    assert c["function", "Add"]["docstring"] == "Add adds." and c["function", "Add"]["package"] == "calc"
-    assert json.loads(c["type", "Calculator"]["metadata"]["methods"]) == ["Multiply"]
-    assert json.loads(c["type", "Op"]["metadata"]["methods"]) == ["Run"]
-    assert go.analyze("/x/calc_test.go", src) == []
+    src = '// Package tide predicts tides.\npackage tide\n\nimport "time"\n\n// Height gives metres.\nfunc Height(at time.Time, port string) float64 { return 0 }\n\ntype Gauge struct {\n\tPort string\n}\n\ntype Empty struct{}\n\nfunc (g *Gauge) Read(raw []byte, n int) (int, error) {\n\treturn n, nil\n}\n\nfunc Open() *Gauge { return nil }\n\ntype Source interface {\n\tNext(n int) error\n}\n\nfunc unseen() {}\nvar Depth, w = 1, 2\n'
+    c = by_name(go.analyze("/x/tide.go", src))
+    assert set(c) == {("function", "Height"), ("type", "Gauge"), ("type", "Empty"), ("method", "Read"), ("function", "Open"), ("type", "Source"), ("var", "Depth")}
+    assert c["function", "Height"]["docstring"] == "Height gives metres." and c["function", "Height"]["package"] == "tide"
+    assert json.loads(c["type", "Gauge"]["metadata"]["methods"]) == ["Read"]
+    assert json.loads(c["type", "Source"]["metadata"]["methods"]) == ["Next"]
+    assert go.analyze("/x/tide_test.go", src) == []
 
 
 def test_go_with_odd_text():
@@ -32,7 +34,8 @@ def test_python():
     assert {(x["receiver"], x["name"]) for x in calls} == {("self", "validate"), ("super()", "process"), ("Helper", "compute"), ("", "save_to_db")}
     assert json.loads(c["class", "UserService"]["metadata"]["dependencies"])[:4] == ["Base", "User", "Product", "Order"]
     assert c["class", "D"]["metadata"]["is_dataclass"] == "true" and c["class", "D"]["metadata"]["is_enum"] == "true"
-    assert python.analyze("/a.py", "def f(:\n") == []
+    with pytest.raises(ValueError, match="line 1"):
+        python.analyze("/a.py", "def f(:\n")
     assert python.module_name("/p/pkg/__init__.py") == "pkg"
 
 
@@ -66,3 +69,33 @@ def test_html():
     assert (b["name"], b["code"], b["metadata"]["html_class"]) == ("More", "x = 1", '"detalii"')
     assert html.analyze("/p/x.html", "<p>only</p><script>a<b</script>")[0]["type"] == "file"
     assert html.analyze("/p/x.html", "") == []
+
+
+@pytest.mark.parametrize(("src", "found"), [
+    ("", []),
+    ("x = 1\n", [("var", "x", 1, 1)]),
+    ("async def go(a, /, b, *, c=1): ...\n", [("function", "go", 1, 1)]),
+    ("@a\n@b(1,\n   2)\ndef f():\n    def inner(): pass\n    return inner\n", [("function", "f", 4, 6)]),
+    ("class A:\n    class B:\n        def m(self): pass\n", [("class", "A", 1, 3)]),
+    ("class P(Protocol):\n    def m(self) -> int: ...\n", [("class", "P", 1, 2), ("method", "m", 2, 2)]),
+    ("if True:\n    def f(): pass\n", []),
+    ("class A:\n    @property\n    def v(self): return 1\n    @staticmethod\n    def s(): pass\n", [("class", "A", 1, 5), ("method", "s", 5, 5), ("property", "v", 3, 3)]),
+    ("LIMIT = (1,\n  2)\n", [("const", "LIMIT", 1, 1)]),
+    ("def f(x: dict[str, list[int]]) -> 'T':\n    yield x\n\n\ndef g(): return 1\n", [("function", "f", 1, 2), ("function", "g", 5, 5)]),
+])
+def test_shapes_of_python(src, found):
+    got = sorted((c["type"], c["name"], c["start_line"], c["end_line"]) for c in python.analyze("/a/m.py", src))
+    assert [x for x in got if x[0] != "module"] == found
+
+
+@pytest.mark.parametrize(("src", "uris"), [
+    ("Route::get('a', 'C@a');", ["a"]),
+    ("Route::prefix('api')->group(function () { Route::get('a', 'C@a'); });", ["/api/a"]),
+    ("Route::middleware('x')->prefix('/api/')->group(function () { Route::get('/a', 'C@a'); }); Route::get('/b', 'C@b');", ["/api/a", "/b"]),
+    ("Route::group(['middleware' => 'x', 'prefix' => 'v1'], function () { Route::prefix('in')->group(fn () => Route::post('a', 'C@a')); });", ["/v1/in/a"]),
+    ("Route::group(['middleware' => 'x'], function () { Route::resource('p', P::class); });", ["/p", "/p/create", "/p", "/p/{id}", "/p/{id}/edit", "/p/{id}", "/p/{id}"]),
+    ("Route::prefix('api')->group(function () { Route::get('/', 'C@a'); });", ["/api"]),
+])
+def test_route_groups(src, uris):
+    got = [json.loads(c["metadata"]["route"])["uri"] for c in php.analyze("/r.php", "<?php\n" + src) if c["type"] == "route"]
+    assert got == uris

@@ -90,3 +90,64 @@ def test_index_workspace_follows_changes(spark, tmp_path):
     assert Config.load({"dimension": 8}, {"TESSELLA_EXCLUDE": "a, b"}) == Config(dimension=8, exclude=["a", "b"])
     with pytest.raises(ValueError):
         Config.load({}, {"TESSELLA_OTHER": "1"})
+
+
+def test_index_flag_and_collections(spark, tmp_path):
+    from tessella.plans import index
+
+    path = f"file://{tmp_path}/x"
+    files = spark.createDataFrame([("/w/a.md", "text", 1), ("/w/b.py", "x = 1", 2)], "path string, content string, size long").withColumn("mod_time", F.lit("2024-01-02").cast("timestamp"))
+    flag, other = index.IndexFlag(spark, path, "w"), index.IndexFlag(spark, path, "w")
+    assert flag.start() and not other.start() and other.is_indexing()
+    assert index.ensure_indexed(spark, files, path, "w") == "indexing"
+    flag.stop()
+    assert index.ensure_indexed(spark, files, path, "w") == "indexed" and index.ensure_indexed(spark, files, path, "w") == "there"
+    assert index.acquire(spark, path, "w", "python", 2) and not index.acquire(spark, path, "w2", "go", 3)
+    with pytest.raises(ValueError):
+        index.acquire(spark, path, "w2", "go", 2)
+    # The last file of a language takes its partition along; a second workspace stays.
+    index.index_files(spark, files, path, "w2")
+    assert index.index_files(spark, files.where("path LIKE '%md'"), path, "w") == {"deleted": 1, "unchanged": 1}
+    left = {(r.workspace_id, r.language) for r in store.collections(store.Store(spark, f"{path}/chunks").read()).collect()}
+    assert left == {("w", "markdown"), ("w2", "markdown"), ("w2", "python")}
+
+
+def test_several_folders_are_indexed(spark, tmp_path):
+    from tessella.plans import index
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.md").write_text("text")
+    got = index.index_all(spark, [str(tmp_path / "a"), str(tmp_path / "none")], f"file://{tmp_path}/t", recreate=True)
+    assert got[str(tmp_path / "a")] == {"added": 1} and "Exception" in got[str(tmp_path / "none")]
+
+
+def test_rows_that_are_equally_new(spark):
+    base = spark.createDataFrame([(1, "old", 0)], "id long, v string, n long")
+    for news in ([(1, "a", 5), (1, "b", 5)], [(1, "b", 5), (1, "a", 5)]):
+        assert [(r.id, r.v) for r in store.upsert(base, spark.createDataFrame(news, base.schema), "id", "n").collect()] == [(1, "b")]
+
+
+def test_tool_parameters():
+    from tessella.plans.tools import ToolError, check
+
+    assert check("search_code", {"query": "x"}) == {"query": "x", "file_path": None, "limit": 5, "output_format": "markdown"}
+    assert check("hybrid_search", {"query": "x", "limit": "7"})["limit"] == 7 and check("search_docs", {"query": "x", "limit": 0})["limit"] == 5
+    for tool, args, told in [("none", {}, "unknown tool"), ("search_code", {}, "query is required"), ("search_code", {"query": ""}, "required"), ("search_code", {"query": "x", "y": 1}, "no parameter y"), ("search_code", {"query": 3}, "must be text"), ("search_code", {"query": "x", "limit": "a"}, "number"), ("search_code", {"query": "x", "limit": 1.5}, "whole"), ("search_code", {"query": "x", "output_format": "xml"}, "markdown, json"), ("get_code_context", {"file_path": "f", "start_line": 4, "end_line": 3}, "end_line")]:
+        with pytest.raises(ToolError, match=told):
+            check(tool, args)
+
+
+def test_embedder_is_that_of_single_words():
+    from zlib import crc32
+
+    import numpy as np
+
+    from tessella.functions.embed import hashing_embedder
+
+    texts = ["the Cat the", "", "a b c a"]
+    got = hashing_embedder(8)(texts)
+    for row, text in zip(got, texts, strict=True):
+        want = np.zeros(8)
+        for w in text.lower().split():
+            want[crc32(w.encode()) % 8] += 1 if crc32(w.encode()) >> 16 & 1 else -1
+        assert np.allclose(row, want / (np.linalg.norm(want) or 1), atol=1e-6)
