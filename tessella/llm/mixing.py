@@ -219,6 +219,9 @@ def mix_sources(docs: DataFrame, weights: list[float], **settings) -> DataFrame:
 
 
 def shards(mix: DataFrame) -> DataFrame:
-    """mix with a row for each draw, as shard, pass, words and order in place of draws: a shard's rows together, in random order."""
+    """mix with a row for each draw, as shard, pass, words and order in place of draws: a shard's rows together, in random order.
+
+    Partitions are ranges of shard and order, so they are of like size however many shards there are; a shard that is cut goes on in the next one.
+    """
     rows = mix.withColumn("d", F.explode("draws")).drop("draws").select("*", "d.*").drop("d")
-    return rows.repartition("shard").sortWithinPartitions("shard", "order")
+    return rows.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
