@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.SQL, "op4_ngram_join": ngram_join.SQL, "op10_warc": warc.SQL}
+    return {"op1_url_filters": url_filters.SQL, "op3_secrets": secrets.SQL, "op4_ngram_join": ngram_join.SQL, "op10_warc": warc.SQL}

@@ -97,3 +97,38 @@ def secret_digests(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def _is(kind: int):
     return lambda x: x["kind"] == kind
+
+
+def _any_case(words: str) -> str:
+    """A pattern of ASCII letters in either case, whatever the engine's folding."""
+    return "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in words)
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _found(name: str, pattern: str) -> str:
+    """A table of SQL: the matches of a pattern with their ends, in code points."""
+    p = _quoted(pattern)
+    return f"""{name} AS (SELECT doc_id, m, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM
+ (SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(range(len(ms))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d)))"""
+
+
+#: The patterns for SQL, which can't look behind: what must come before is matched, too.
+_GIVEN = r"""["']?\x20*[:=]\x20*["']?"""
+_ASSIGN = f"({_any_case('password|passwd|secret|token|api_?key')}){_GIVEN}([A-Za-z0-9+/_.=-]+)"
+_IDENTIFIER = f"(^|[^A-Za-z0-9])(?:{_any_case('access_?key')}(?:{_any_case('_?id')})?|{_any_case('client_?id|user_?name|user|login|account')}){_GIVEN}[A-Za-z0-9+/_.@-]{{3,}}"
+_TOKEN = r"(^|[^A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_found("fa", _ASSIGN)}, {_found("fk", "AKIA[A-Z0-9]+")}, {_found("fh", "[0-9a-f]+")}, {_found("fi", _IDENTIFIER)}, {_found("ft", _TOKEN)},
+ {_found("fe", ENDPOINT)},
+a AS (SELECT *, length(regexp_extract(m, '{_quoted(_ASSIGN)}', 2)) AS n FROM fa),
+base AS (SELECT doc_id, e - length(m) AS s, 0 AS k, e FROM a WHERE n >= 12 UNION ALL SELECT doc_id, e - length(m), 1, e FROM fk WHERE length(m) >= 18 UNION ALL SELECT doc_id, e - length(m), 2, e FROM fh WHERE length(m) >= 16),
+cand AS (SELECT doc_id, e - length(m) + length(regexp_extract(m, '{_quoted(_IDENTIFIER)}', 1)) AS s, 3 AS k, e FROM fi UNION SELECT doc_id, e - length(m), 4, e FROM a WHERE n BETWEEN 6 AND 11
+ UNION SELECT doc_id, e - length(m) + length(regexp_extract(m, '{_TOKEN}', 1)), 4, e FROM ft WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')),
+weak AS (SELECT * FROM cand w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+part AS (SELECT *, CASE WHEN k IN (1, 3) THEN 'i' WHEN k = 5 THEN 'e' ELSE 's' END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak UNION ALL SELECT doc_id, e - length(m), 5, e FROM fe)),
+linked AS (SELECT DISTINCT w.doc_id, w.s, w.k, w.e FROM part w JOIN part x ON x.doc_id = w.doc_id AND x.role <> w.role AND w.s - x.e <= {REACH} AND x.s - w.e <= {REACH} WHERE w.k IN (3, 4)),
+told AS (SELECT *, ['assign', 'access', 'hex', 'identifier', 'part'][k + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM linked))
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+ sha256(coalesce(string_agg(x, ',' ORDER BY s, k, e) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k, e), '') AS spans FROM d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id"""

@@ -10,9 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 from math import comb
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import rows_of
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, graph, media, mixing, ngram_join, pii, quality, queries, secrets, spotsigs, textarrays, url_filters, warc
@@ -233,6 +235,27 @@ def test_secrets_by_brute_force(spark, texts):
         assert ",".join(x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")) == line
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_operators_give_the_rows_of_their_sql(spark, duck, name):
+    df = queries.queries()[name](spark, SF)
+    got = [tuple(r) for r in df.collect()]
+    cur = duck.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in cur.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows_of(df.columns, got) == rows_of(columns, cur.fetchall())
+
+
+def test_sql_of_secrets_by_brute_force():
+    rnd = random.Random(8)
+    bits = ["password", "Secret:", "api_key=", "TOKEN", '"', "'", " ", ":", "=", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "short12", "🙂", "é", "\n", "x" * 150, "user: bob", "client_id=ab_1", "https://a.b/c", "Ab3Ab3Ab3Ab3Ab3Ab3Ab3"]
+    made = {i: "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 16))) for i in range(2000)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*made.items(), (-1, None)])
+    got = {r[0]: r[5] for r in con.execute(secrets.SQL).fetchall()}
+    assert got == {d: method_spans(t) for d, t in made.items()} | {-1: ""}
+
+
 def method_spans(text, reach=200):
     """Weak candidates by plain pairs: apart from base spans, with a complement within reach."""
     flags = re.A
