@@ -9,7 +9,7 @@ from tessella.operators.analyzers import chunk, lines_of
 from tessella.operators.analyzers.scan import Token, end_line, matching, scanner, split_top, text_of, tokens
 
 LANGUAGE = "php"
-PATTERN = scanner(strings=r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|<<<['\"]?(?P<h>\w+)['\"]?\n.*?\n[ \t]*(?P=h)\b", line_comments=r"//|\#(?!\[)", variables=True)
+PATTERN = scanner(strings=r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|<<<['\"]?(?P<h>\w+)['\"]?\n.*?\n[ \t]*(?P=h)\b", line_comments=r"//|\#(?!\[)", variables=True, between=r"\?>.*?(?:<\?(?:php\b|=)?|\Z)")
 MODIFIERS = {"public", "protected", "private", "static", "abstract", "final", "readonly", "var"}
 #: Methods of a resource controller, and routes that a resource makes as (verb, suffix, action).
 RESOURCE_ACTIONS = ["index", "create", "store", "show", "edit", "update", "destroy"]
@@ -121,6 +121,7 @@ class Parser:
         self.imports: dict[str, str] = {}
         self.types: list[dict] = []
         self.functions: list[dict] = []
+        self.constants: list[dict] = []
         self.read(0, len(self.toks))
 
     def doc(self, t: Token) -> dict:
@@ -149,11 +150,14 @@ class Parser:
                 i = self.type(word, i, first or t)
             elif word == "function" and i + 1 < end and self.toks[i + 1].kind == "word":
                 f, i = self.function(i, t, [])
-                self.functions.append(f)
-            elif t.text == "{" and self.toks[i - 1].text not in (")",):
-                pass  # the body of a namespace
-            elif t.text in ("(", "[", "{"):
-                i = matching(self.toks, i)
+                self.functions.append(f | {"namespace": self.namespace})
+            elif word == "const":
+                found, i = self.consts(i, end, t, [])
+                self.constants += [c | {"namespace": self.namespace} for c in found]
+            elif word == "function" or word == "class" and self.toks[i - 1].text != "::":
+                i = self.nameless(i, end)
+            elif t.text in ("(", "["):
+                i = matching(self.toks, i)  # not "{": bodies of namespaces and conditions hold declarations, too
             first = None
             i += 1
 
@@ -168,6 +172,23 @@ class Parser:
             alias = run[at + 1].text if at + 1 < len(run) and run[at].text.lower() == "as" else full.split("\\")[-1]
             self.imports[alias] = full
 
+    def nameless(self, i: int, end: int) -> int:
+        """The last token of the closure or anonymous class at i."""
+        i += 1
+        while i < end and self.toks[i].text not in ("{", ";"):
+            i = matching(self.toks, i) + 1 if self.toks[i].text in ("(", "[") else i + 1
+        return matching(self.toks, i) if i < end and self.toks[i].text == "{" else i
+
+    def consts(self, i: int, end: int, first: Token, modifiers: list[str]) -> tuple[list[dict], int]:
+        """The constants of the declaration at `const`, and the place of its semicolon."""
+        stop = next((k for k in range(i, end + 1) if k < len(self.toks) and self.toks[k].text == ";"), min(end, len(self.toks) - 1))
+        out = []
+        for run in split_top(self.toks[i + 1 : stop]):
+            eq = next((k for k, x in enumerate(run) if x.text == "="), len(run))
+            if eq:
+                out.append({"name": run[eq - 1].text, "value": text_of(run[eq + 1 :], self.source), "doc": self.doc(first), "start": first.line, "end": self.toks[stop].line, "visibility": next((m for m in modifiers if m in ("public", "protected", "private")), "public")})
+        return out, stop
+
     def function(self, i: int, first: Token, modifiers: list[str]) -> tuple[dict, int]:
         """A function at `function`, and the place of its last token."""
         i += 1
@@ -226,10 +247,8 @@ class Parser:
                 out["methods"].append(f)
                 modifiers, start, hint = [], None, []
             elif low == "const":
-                stop = next((k for k in range(j, end + 1) if self.toks[k].text == ";"), end)
-                for run in split_top(self.toks[j + 1 : stop]):
-                    eq = next((k for k, x in enumerate(run) if x.text == "="), len(run))
-                    out["constants"].append({"name": run[eq - 1].text, "value": text_of(run[eq + 1 :], self.source), "doc": self.doc(start or t), "start": (start or t).line, "end": self.toks[stop].line, "visibility": next((m for m in modifiers if m in ("public", "protected", "private")), "public")})
+                found, stop = self.consts(j, end, start or t, modifiers)
+                out["constants"] += found
                 j, modifiers, start, hint = stop, [], None, []
             elif t.kind == "word" and t.text.startswith("$") and (modifiers or hint):
                 stop, depth = j, 0
@@ -406,7 +425,9 @@ def analyze(path: str, content: str) -> list[dict]:
         for x in t["constants"]:
             out.append(chunk("constant", x["name"], start=x["start"], end=x["end"], signature=f"const {x['name']} = {x['value']}", docstring=x["doc"]["description"], code=x["value"], class_name=t["name"], **at))
     for f in p.functions:
-        out.append(chunk("function", f["name"], start=f["start"], end=f["end"], signature=f["signature"], docstring=f["doc"]["description"], code=lines_of(content, f["start"], f["end"]), params=f["params"], returns=f["returns"], **base))
+        out.append(chunk("function", f["name"], start=f["start"], end=f["end"], signature=f["signature"], docstring=f["doc"]["description"], code=lines_of(content, f["start"], f["end"]), params=f["params"], returns=f["returns"], **(base | {"package": f["namespace"]})))
+    for x in p.constants:
+        out.append(chunk("constant", x["name"], start=x["start"], end=x["end"], signature=f"const {x['name']} = {x['value']}", docstring=x["doc"]["description"], code=x["value"], **(base | {"package": x["namespace"]})))
     for r in routes(p):
         out.append(chunk("route", f"{r['method']} {r['uri']}", start=r["line"], end=r["line"], signature=f"{r['method']} {r['uri']}", docstring=r["description"], code=lines_of(content, r["line"], r["line"]), route=r, **base))
     return out

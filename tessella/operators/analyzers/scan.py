@@ -13,9 +13,10 @@ class Token(NamedTuple):
     line: int
 
 
-def scanner(*, strings: str, line_comments: str, variables: bool = False) -> re.Pattern[str]:
+def scanner(*, strings: str, line_comments: str, variables: bool = False, between: str = r"(?!)") -> re.Pattern[str]:
+    """between: what stands between pieces of code; it counts as a comment."""
     word = r"\$?[^\W\d]\w*" if variables else r"[^\W\d]\w*"
-    return re.compile(rf"(?P<comment>/\*.*?\*/|(?:{line_comments})[^\n]*)|(?P<string>{strings})|(?P<word>{word})|(?P<number>\d[\w.]*)|(?P<sign>::|->|=>|\?->|\.\.\.|<-|:=|[^\s\w])", re.S)
+    return re.compile(rf"(?P<comment>/\*.*?\*/|(?:{line_comments})[^\n]*|{between})|(?P<string>{strings})|(?P<word>{word})|(?P<number>\d[\w.]*)|(?P<sign>::|->|=>|\?->|\.\.\.|<-|:=|[^\s\w])", re.S)
 
 
 def tokens(pattern: re.Pattern[str], source: str, at: int = 0) -> list[Token]:

@@ -211,3 +211,29 @@ def index_workspace(t):
         told += [(f"{name} {k}", v) for k, v in index_files(spark, files_now.drop("doc_id"), path, "w").items()]
     points = store.collections(store.Store(spark, f"{path}/chunks").read())
     return spark.createDataFrame(told, "what string, n long").union(points.select(F.concat("language", F.lit(" points")), "points"))
+
+
+@query("ensure_indexed", """SELECT * FROM (VALUES ('flag set', 'true'), ('flag set again', 'false'), ('asked while indexing', 'indexing'), ('asked', 'indexed'), ('asked again', 'there'), ('collection of go', 'true'), ('collection of php', 'false'), ('collection of php, 1 at most', 'refused')) AS v(step, told)
+ UNION ALL SELECT 'points of go', (4 * count(*))::VARCHAR FROM documents""")
+def ensure_indexed(t):
+    """Go files indexed on first demand only, and by one job at a time; collections taken up to a limit."""
+    from tessella.plans.index import IndexFlag, acquire, ensure_indexed
+    from tessella.plans.shared import fresh_path
+    from tessella.queries.structure import go_files
+    from tessella.sources.store import Store, collections
+
+    files = go_files(t).select("path", at("2024-01-02").cast("timestamp").alias("mod_time"), F.length("content").cast("long").alias("size"), "content")
+    spark = files.sparkSession
+    path = fresh_path(spark, "ensured")
+    flag, other = IndexFlag(spark, path, "w"), IndexFlag(spark, path, "w")
+    told = [("flag set", flag.start()), ("flag set again", other.start()), ("asked while indexing", ensure_indexed(spark, files, path, "w"))]
+    flag.stop()
+    told += [("asked", ensure_indexed(spark, files, path, "w")), ("asked again", ensure_indexed(spark, files, path, "w"))]
+    told += [("collection of go", acquire(spark, path, "w", "go", 1)), ("collection of php", acquire(spark, path, "w", "php", 2))]
+    try:
+        acquire(spark, path, "w", "php", 1)
+    except ValueError:
+        told.append(("collection of php, 1 at most", "refused"))
+    points = collections(Store(spark, f"{path}/chunks").read())
+    steps = spark.createDataFrame([(k, str(v).lower()) for k, v in told], "step string, told string")
+    return steps.union(points.select(F.concat(F.lit("points of "), "language"), F.col("points").cast("string")))

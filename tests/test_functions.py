@@ -105,6 +105,21 @@ def test_embedder_is_deterministic_and_has_length_one(spark):
     assert with_retry(fails_twice, sleep=lambda _: None)(5) == 5 and len(calls) == 3
 
 
+def test_embedder_by_plain_loops():
+    from zlib import crc32
+
+    from tessella.functions.embed import hashing_embedder
+
+    texts = ["", " ", "One two TWO three", "é ü\tone\n" * 40, "x" * 5000, *(" ".join(f"w{(i * j) % 37}" for j in range(i)) for i in range(60))]
+    for dimension in (1, 7, 64):
+        for text, got in zip(texts, hashing_embedder(dimension)(texts), strict=True):
+            want = [0.0] * dimension
+            for w in text.lower().split():
+                want[crc32(w.encode()) % dimension] += 1 if crc32(w.encode()) >> 16 & 1 else -1
+            norm = sum(x * x for x in want) ** 0.5 or 1.0
+            assert all(abs(a - b / norm) < 1e-6 for a, b in zip(got.tolist(), want, strict=True))
+
+
 def test_snippet_takes_the_first_line(spark):
     assert one(spark, "1\n2\nfoo\n4\n5\nfoo", lambda c: T.snippet(c, F.lit("foo"))) == "1\n2\nfoo\n4\n5"
     assert re.match("", one(spark, "x", lambda c: T.snippet(c, F.lit("foo"))))
