@@ -69,8 +69,8 @@ def qualified(toks: list[Token], i: int) -> tuple[str, int]:
 
 def value_of(toks: list[Token], source: str) -> object:
     """A literal as a value: string, list, map; other expressions as text."""
-    if len(toks) == 1 and toks[0].kind == "string":
-        return toks[0].text[1:-1]
+    if len(toks) == 1 and toks[0].kind == "string" and toks[0].text[0] in "'\"":
+        return re.sub(r"\\([\\'\"])", r"\1", toks[0].text[1:-1])
     inner = None
     if toks and toks[0].text == "[" and matching(toks, 0) == len(toks) - 1:
         inner = toks[1:-1]
@@ -306,7 +306,7 @@ def model(t: dict, source: str) -> dict:
     for m in t["methods"]:
         if found := this_call(m["body"]):
             kind, args = found
-            text = [text_of(a, source).strip("'\"") for a in args]
+            text = [str(value_of(a, source)) for a in args]
             relations.append({"name": m["name"], "type": kind, "related_model": resolve(text[0], t) if text else "", "foreign_key": text[1] if len(text) > 1 else "", "local_key": text[2] if len(text) > 2 else "", "description": m["doc"]["description"], "start_line": m["start"], "end_line": m["end"]})
         name = m["name"]
         if name.startswith("scope") and len(name) > 5:
@@ -323,13 +323,25 @@ def verbs(action: str) -> list[str]:
 
 
 def is_controller(t: dict) -> bool:
-    return t["kind"] == "class" and "Controllers" in t["namespace"]
+    return t["kind"] == "class" and ("Controllers" in t["namespace"] or any(x in ("Controller", "BaseController", "ApiController") or x.endswith("\\Controller") for x in t["extends"]))
 
 
-def controller(t: dict) -> dict:
+def middleware(t: dict, source: str) -> list[str]:
+    """What the constructor of a controller names in $this->middleware(...)."""
+    out = []
+    for body in (m["body"] for m in t["methods"] if m["name"] == "__construct"):
+        for i in range(len(body) - 3):
+            if [x.text for x in body[i : i + 4]] == ["$this", "->", "middleware", "("]:
+                for value in (value_of(a, source) for a in split_top(body[i + 4 : matching(body, i + 3)])):
+                    out += map(str, value) if isinstance(value, list) else [str(value)]
+    return out
+
+
+def controller(t: dict, source: str) -> dict:
     names = {m["name"] for m in t["methods"]}
-    actions = [{"name": m["name"], "http_methods": verbs(m["name"]), "parameters": [p["name"] for p in m["params"]], "returns": m["returns"]} for m in t["methods"] if m["visibility"] == "public" and not m["name"].startswith("__")]
-    return {"class_name": t["name"], "full_name": t["full"], "is_resource": len(names & set(RESOURCE_ACTIONS)) >= 4, "actions": actions, "middleware": []}
+    actions = [{"name": m["name"], "description": m["doc"]["description"], "http_methods": verbs(m["name"]), "parameters": [p["name"] for p in m["params"]], "returns": m["returns"], "start_line": m["start"], "end_line": m["end"]} for m in t["methods"] if m["visibility"] == "public" and not m["name"].startswith("__")]
+    is_api = any(x in t["namespace"] for x in ("\\Api", "\\API")) or t["name"].endswith("ApiController") or any(x in t["path"] for x in ("/Api/", "/API/"))
+    return {"class_name": t["name"], "full_name": t["full"], "base_controller": ", ".join(t["extends"]), "is_resource": len(names & set(RESOURCE_ACTIONS)) >= 4, "is_api": is_api, "actions": actions, "middleware": middleware(t, source)}
 
 
 def target(arg: list[Token], source: str, imports: dict[str, str]) -> tuple[str, str]:
@@ -415,7 +427,7 @@ def analyze(path: str, content: str) -> list[dict]:
         if is_model(t):
             meta["eloquent"] = model(t, content)
         elif is_controller(t):
-            meta["controller"] = controller(t)
+            meta["controller"] = controller(t, content)
         at = base | {"package": t["namespace"]}
         out.append(chunk(t["kind"], t["name"], start=t["start"], end=t["end"], signature=sig, docstring=t["doc"]["description"], code=code, **meta, **at))
         for m in t["methods"]:

@@ -137,6 +137,33 @@ PHP = [
 ]
 
 
+#: Models and controllers: (source, what the framework makes of them as kind, name and detail).
+LARAVEL = [
+    (
+        "<?php\nnamespace App\\Models;\nuse App\\Shop\\Item as Thing;\nclass Order§ extends Model\n{\n    protected $primaryKey = 'no';\n    public $timestamps = false;\n    protected $casts = ['paid' => 'boolean', 'at' => Moment::class];\n    public function things() { return $this->hasMany(Thing::class, 'order_no', 'no')->latest(); }\n    public function buyer() { return $this->belongsTo(\\Crm\\Buyer::class); }\n    public function owner() { return $this->morphTo(); }\n}\n",
+        [("model", "App\\Models\\Order§", "no,false,false"), ("cast", "paid", "boolean"), ("cast", "at", "Moment::class"), ("relation", "things", "hasMany App\\Shop\\Item order_no"), ("relation", "buyer", "belongsTo Crm\\Buyer "), ("relation", "owner", "morphTo  ")],
+    ),
+    (
+        "<?php\nnamespace App;\nuse Illuminate\\Foundation\\Auth\\User as Authenticatable;\nclass User§ extends Authenticatable\n{\n    use HasFactory, \\Illuminate\\Database\\Eloquent\\SoftDeletes;\n    public function scopeOfAge($q, $n) { return $q->where('age', '>', $n); }\n    public function scope() {}\n    public function getFullNameAttribute() { return ''; }\n    public function setNickAttribute($v) {}\n    public function getAttribute($key) {}\n}\n",
+        [("model", "App\\User§", "id,true,true"), ("scope", "ofAge", "scopeOfAge"), ("attribute", "full_name", "accessor"), ("attribute", "nick", "mutator")],
+    ),
+    (
+        "<?php\nnamespace App\\Models;\nclass Tag§ extends \\Illuminate\\Database\\Eloquent\\Model\n{\n    public function posts()\n    {\n        // $this->hasOne(No::class)\n        return $this->belongsToMany('App\\\\Models\\\\Post', \"post_tag\");\n    }\n    public function late() { $x = $this->other(); if ($x) { return $this->hasManyThrough(A::class, B::class); } }\n    public function plain() { return other()->hasOne(A::class); }\n}\n",
+        [("model", "App\\Models\\Tag§", "id,true,false"), ("relation", "posts", "belongsToMany App\\Models\\Post post_tag"), ("relation", "late", "hasManyThrough App\\Models\\A B::class")],
+    ),
+    ("<?php\nnamespace App\\Services;\nclass Mailer§ extends Sender\n{\n    protected $fillable = ['a'];\n    public function scopeAll() {}\n}\ninterface Model {}\ntrait Relates { public function a() { return $this->hasOne(B::class); } }\n", []),
+    (
+        "<?php\nnamespace App\\Http\\Controllers\\Api;\nclass Port§Controller extends Controller\n{\n    public function __construct() { $this->middleware('auth'); $this->middleware(['log', 'throttle:60'])->only('index'); }\n    public function index() {}\n    public function listOpen(Request $r) {}\n    protected function helper() {}\n}\n",
+        [("controller", "App\\Http\\Controllers\\Api\\Port§Controller", "Controller,false,true"), ("middleware", "auth", ""), ("middleware", "log", ""), ("middleware", "throttle:60", ""), ("action", "index", "GET"), ("action", "listOpen", "GET")],
+    ),
+    (
+        "<?php\nnamespace Modules\\Web;\nuse App\\Http\\Controllers\\Controller;\nfinal class Page§ extends Controller\n{\n    public function store() {}\n    public function update($id) {}\n    public function destroy($id) {}\n    public function edit($id) {}\n    public function other() {}\n}\n",
+        [("controller", "Modules\\Web\\Page§", "Controller,true,false"), ("action", "store", "POST"), ("action", "update", "PUT,PATCH"), ("action", "destroy", "DELETE"), ("action", "edit", "GET"), ("action", "other", "")],
+    ),
+    ("<?php\nnamespace App\\Http\\Controllers;\nclass Lone§ApiController\n{\n    public function __invoke() {}\n}\n", [("controller", "App\\Http\\Controllers\\Lone§ApiController", ",false,true")]),
+]
+
+
 def literal(text: str) -> str:
     """A string of SQL."""
     return "'" + text.replace("'", "''") + "'"
@@ -148,11 +175,14 @@ def sql(shapes) -> str:
     return f"SELECT doc_id, type, {at('name')}, {at('signature')}, start_line, end_line FROM documents JOIN (VALUES {rows}) AS v(shape, type, name, signature, start_line, end_line) ON doc_id % {len(shapes)} = shape"
 
 
-def symbols(t, ext: str, shapes):
+def shaped(t, ext: str, shapes):
     n = F.col("doc_id").cast("string")
     source = F.element_at(F.array(*(F.lit(s) for s, _ in shapes)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
-    files = t("documents").select(F.concat(F.lit("/w/m"), n, F.lit(ext)).alias("path"), F.replace(source, F.lit(ID), n).alias("content"))
-    return A.analyze(files).select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), "type", "name", "signature", "start_line", "end_line")
+    return t("documents").select(F.concat(F.lit("/w/m"), n, F.lit(ext)).alias("path"), F.replace(source, F.lit(ID), n).alias("content"))
+
+
+def symbols(t, ext: str, shapes):
+    return A.analyze(shaped(t, ext, shapes)).select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), "type", "name", "signature", "start_line", "end_line")
 
 
 @query("py_shapes", sql(PYTHON))
@@ -168,3 +198,31 @@ def go_shapes(t):
 @query("php_shapes", sql(PHP))
 def php_shapes(t):
     return symbols(t, ".php", PHP)
+
+
+def laravel_sql() -> str:
+    rows = ", ".join(f"({i}, {literal(kind)}, {literal(name)}, {literal(detail)})" for i, (_, found) in enumerate(LARAVEL) for kind, name, detail in found)
+    return f"SELECT doc_id, kind, replace(name, '{ID}', doc_id::VARCHAR) AS name, detail FROM documents JOIN (VALUES {rows}) AS v(shape, kind, name, detail) ON doc_id % {len(LARAVEL)} = shape"
+
+
+MODEL = "struct<full_name:string,primary_key:string,timestamps:boolean,soft_deletes:boolean,casts:map<string,string>,relations:array<struct<name:string,type:string,related_model:string,foreign_key:string>>,scopes:array<struct<name:string,method_name:string>>,attributes:array<struct<name:string,type:string>>>"
+CONTROLLER = "struct<full_name:string,base_controller:string,is_resource:boolean,is_api:boolean,middleware:array<string>,actions:array<struct<name:string,http_methods:array<string>>>>"
+
+
+@query("laravel_shapes", laravel_sql())
+def laravel_shapes(t):
+    rows = A.analyze(shaped(t, ".php", LARAVEL)).select("file_path", *(F.from_json(F.try_element_at("metadata", F.lit(k)), kind).alias(k[0]) for k, kind in (("eloquent", MODEL), ("controller", CONTROLLER))))
+    told = lambda kind, name, detail: F.struct(F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+    each = lambda items, f: F.coalesce(F.transform(items, f), F.array().cast("array<struct<kind:string,name:string,detail:string>>"))
+    m, c = F.col("e"), F.col("c")
+    found = F.concat(
+        F.when(m.isNotNull(), F.array(told("model", m["full_name"], F.concat_ws(",", m["primary_key"], m["timestamps"], m["soft_deletes"])))).otherwise(F.array()),
+        each(F.map_entries(m["casts"]), lambda x: told("cast", x["key"], x["value"])),
+        each(m["relations"], lambda x: told("relation", x["name"], F.concat_ws(" ", x["type"], x["related_model"], x["foreign_key"]))),
+        each(m["scopes"], lambda x: told("scope", x["name"], x["method_name"])),
+        each(m["attributes"], lambda x: told("attribute", x["name"], x["type"])),
+        F.when(c.isNotNull(), F.array(told("controller", c["full_name"], F.concat_ws(",", c["base_controller"], c["is_resource"], c["is_api"])))).otherwise(F.array()),
+        each(c["middleware"], lambda x: told("middleware", x, F.lit(""))),
+        each(c["actions"], lambda x: told("action", x["name"], F.array_join(x["http_methods"], ","))),
+    )
+    return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), F.explode(found).alias("x")).select("doc_id", "x.*")
