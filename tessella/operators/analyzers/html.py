@@ -88,27 +88,41 @@ def code_of(nodes: list[Node]) -> list[str]:
     return [x for x in out if x]
 
 
+def elements(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node)]
+
+
+def headings(root: Node):
+    """Headings below a node, in order, each with the elements that follow it beside it up to the next heading."""
+    todo = [(elements(root), 0)]
+    while todo:
+        beside, i = todo.pop()
+        if i == len(beside):
+            continue
+        todo += [(beside, i + 1), (elements(beside[i]), 0)]
+        if beside[i].tag in HEADINGS:
+            yield beside[i], beside[i + 1 : next((j for j in range(i + 1, len(beside)) if beside[j].tag in HEADINGS), len(beside))]
+
+
 def analyze(path: str, content: str) -> list[dict]:
-    """Sections: a heading and the elements that follow it beside it up to the next heading. Without headings, the page's text."""
+    """Sections: a heading and what follows it. Without a section that holds anything, the page's text.
+
+    A section's code is its title, text and pieces of code. A heading without text is named by its place among all headings.
+    """
     tree = Tree(content).root
+    named = next((n for n in tree.below() if n.tag == "title"), None)
+    page = named.text().strip() if named else ""
+    body = next((n for n in tree.below() if n.tag == "body"), tree)
+    of_page = {"page_title": page} if page else {}
     out = []
-    todo = [tree]
-    while todo:
-        node = todo.pop()
-        kids = [c for c in node.children if isinstance(c, Node)]
-        todo += [k for k in reversed(kids) if k.tag not in HEADINGS]
-        for i, h in enumerate(kids):
-            if h.tag not in HEADINGS:
-                continue
-            end = next((j for j in range(i + 1, len(kids)) if kids[j].tag in HEADINGS), len(kids))
-            body = kids[i + 1 : end]
-            text, code = squeeze("\n".join(n.text() for n in body)), code_of(body)
-            if text or code:
-                title = squeeze(h.text()) or path.split("/")[-1]
-                out.append(chunk("section", title, LANGUAGE, path, package=path.split("/")[-1], signature=f"<{h.tag}> {title}", docstring=text, code="\n\n".join(code), level=int(h.tag[1]), html_id=h.attrs.get("id", ""), html_class=h.attrs.get("class", "")))
-    if not out:
-        body = next((n for n in tree.below() if n.tag == "body"), tree)
-        if text := squeeze(body.text()):
-            name = path.split("/")[-1]
-            out.append(chunk("file", name, LANGUAGE, path, package=name, signature=name, docstring=text, code="\n\n".join(code_of([body]))))
+    for place, (h, beside) in enumerate(headings(body), 1):
+        text, blocks = squeeze("\n".join(n.text() for n in beside)), code_of(beside)
+        if text or blocks:
+            title = h.text().strip() or f"Section {place}"
+            told = {"html_id": h.attrs.get("id", "").strip(), "class": h.attrs.get("class", "").strip(), "code_blocks": blocks}
+            code = "\n\n".join(x for x in (title, text, *blocks) if x)
+            out.append(chunk("section", title, LANGUAGE, path, signature=f"<{h.tag}>{title}</{h.tag}>", docstring=text, code=code, heading_level=int(h.tag[1]), **of_page, **{k: v for k, v in told.items() if v}))
+    if not out and (text := squeeze(body.text())):
+        file = path.split("/")[-1]
+        out.append(chunk("file", page or (file.rpartition(".")[0] or file), LANGUAGE, path, signature=page, docstring=text, code=text, **of_page))
     return out

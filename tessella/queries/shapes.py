@@ -163,6 +163,27 @@ LARAVEL = [
     ("<?php\nnamespace App\\Http\\Controllers;\nclass Lone§ApiController\n{\n    public function __invoke() {}\n}\n", [("controller", "App\\Http\\Controllers\\Lone§ApiController", ",false,true")]),
 ]
 
+#: Pages: (source, sections as type, name, signature, text and code).
+HTML = [
+    (
+        "<div><h1>Tide §</h1><p>one</p></div><section><h3 class='x'>Ebb</h3><p>two</p><p>three</p></section>",
+        [("section", "Tide §", "<h1>Tide §</h1>", "one", "Tide §\n\none"), ("section", "Ebb", "<h3>Ebb</h3>", "two\nthree", "Ebb\n\ntwo\nthree")],
+    ),
+    ("<html><head><title>Page §</title><style>h1 {}</style></head><body><p>only this</p>\n\n  <pre>x = 1</pre></body></html>", [("file", "Page §", "Page §", "only this\nx = 1", "only this\nx = 1")]),
+    ("<h1>Empty §</h1><h2> </h2><p>t</p>loose text<p>u</p>", [("section", "Section 2", "<h2>Section 2</h2>", "t\nu", "Section 2\n\nt\nu")]),
+    (
+        "<h1 id='i'>Caf&eacute; <b>§</b></h1><p>a &lt; b</p><script>var h = '<h2>x</h2></p>';</script><!-- <h2>no</h2> --><h4>Deep</h4><div><pre>if a:\n  b</pre></div>",
+        [("section", "Café §", "<h1>Café §</h1>", "a < b", "Café §\n\na < b"), ("section", "Deep", "<h4>Deep</h4>", "if a:\nb", "Deep\n\nif a:\nb\n\nif a:\nb")],
+    ),
+    ("<H2>Upper §</H2><P>first<P>second", [("section", "Upper §", "<h2>Upper §</h2>", "first\nsecond", "Upper §\n\nfirst\nsecond")]),
+    (
+        "<table><tr><td><h5>Cell §</h5><p>inside</p></td><td><p>beside</p></td></tr></table><h6>Last</h6><code>f()</code><code>g()</code>",
+        [("section", "Cell §", "<h5>Cell §</h5>", "inside", "Cell §\n\ninside"), ("section", "Last", "<h6>Last</h6>", "f()\ng()", "Last\n\nf()\ng()\n\nf()\n\ng()")],
+    ),
+    ("<body><h1>Nothing §</h1><p> </p></body>", [("file", "m§", "", "Nothing §", "Nothing §")]),
+    ("  \n", []),
+]
+
 
 def literal(text: str) -> str:
     """A string of SQL."""
@@ -226,3 +247,14 @@ def laravel_shapes(t):
         each(c["actions"], lambda x: told("action", x["name"], F.array_join(x["http_methods"], ","))),
     )
     return rows.select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), F.explode(found).alias("x")).select("doc_id", "x.*")
+
+
+def html_sql() -> str:
+    rows = ", ".join(f"({i}, {', '.join(map(literal, x))})" for i, (_, found) in enumerate(HTML) for x in found)
+    columns = ["name", "signature", "docstring", "code"]
+    return f"SELECT doc_id, type, {', '.join(f"replace({c}, '{ID}', doc_id::VARCHAR) AS {c}" for c in columns)} FROM documents JOIN (VALUES {rows}) AS v(shape, type, {', '.join(columns)}) ON doc_id % {len(HTML)} = shape"
+
+
+@query("html_shapes", html_sql())
+def html_shapes(t):
+    return A.analyze(shaped(t, ".html", HTML)).select(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("doc_id"), "type", "name", "signature", "docstring", "code")

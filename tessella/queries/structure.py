@@ -193,7 +193,7 @@ def html_files(t):
     return sources(t, ".html", "<html><body><script>var t=\"</p>\";</script><h1 id=\"i", N, "\">Title ", N, "</h1><p>One &amp; two</p><h2>Sub</h2><p>Text ", F.col("source"), "</p><pre><code>code", N, "</code></pre></body></html>")
 
 
-@query("html_sections", "SELECT '/w/m' || doc_id || '.html' AS file_path, 'Title ' || doc_id AS name, 'One & two' AS docstring, '' AS code FROM documents UNION ALL SELECT '/w/m' || doc_id || '.html', 'Sub', 'Text ' || source || chr(10) || 'code' || doc_id, 'code' || doc_id FROM documents")
+@query("html_sections", "SELECT '/w/m' || doc_id || '.html' AS file_path, 'Title ' || doc_id AS name, 'One & two' AS docstring, 'Title ' || doc_id || chr(10) || chr(10) || 'One & two' AS code FROM documents UNION ALL SELECT '/w/m' || doc_id || '.html', 'Sub', 'Text ' || source || chr(10) || 'code' || doc_id, 'Sub' || chr(10) || chr(10) || 'Text ' || source || chr(10) || 'code' || doc_id || chr(10) || chr(10) || 'code' || doc_id FROM documents")
 def html_sections(t):
     return of(t, "section", html_files).select("file_path", "name", "docstring", "code")
 

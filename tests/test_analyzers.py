@@ -63,10 +63,12 @@ def test_php_with_odd_text():
 
 
 def test_html():
-    page = '<body><h1 id="intro">Title</h1><p>One</p><h2 class="detalii">More</h2><p>Two</p><pre><code>x = 1</code></pre></body>'
+    page = '<head><title> Tides </title></head><body><h1 id="ebb">Ebb</h1><p>Falls</p><h2 class="wide">Flood</h2><p>Rises</p><pre><code>h = 1</code></pre></body>'
     a, b = html.analyze("/p/x.html", page)
-    assert (a["name"], a["docstring"], a["metadata"]["html_id"]) == ("Title", "One", '"intro"')
-    assert (b["name"], b["code"], b["metadata"]["html_class"]) == ("More", "x = 1", '"detalii"')
+    assert (a["name"], a["signature"], a["docstring"], a["code"]) == ("Ebb", "<h1>Ebb</h1>", "Falls", "Ebb\n\nFalls")
+    assert {k: json.loads(v) for k, v in a["metadata"].items()} == {"heading_level": 1, "page_title": "Tides", "html_id": "ebb"}
+    assert (b["name"], b["code"]) == ("Flood", "Flood\n\nRises\nh = 1\n\nh = 1")
+    assert {k: json.loads(v) for k, v in b["metadata"].items()} == {"heading_level": 2, "page_title": "Tides", "class": "wide", "code_blocks": ["h = 1"]}
     assert html.analyze("/p/x.html", "<p>only</p><script>a<b</script>")[0]["type"] == "file"
     assert html.analyze("/p/x.html", "") == []
 
