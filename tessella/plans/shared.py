@@ -40,3 +40,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read, dealt to all cores if one split could hold it: small files are often a single row group, which a single task reads.
+
+    For work that is heavy by the row. Larger tables have splits enough and stay as they lie, without a shuffle.
+    """
+    spark = table.sparkSession
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return table.repartition(spark.sparkContext.defaultParallelism) if size <= split else table

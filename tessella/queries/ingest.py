@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import incremental as I
 from tessella.plans.registry import query
+from tessella.plans.shared import spread
 from tessella.queries.scalar import EXT_SQL, FILE_SQL, case, files, skip_sql
 from tessella.functions import paths as P
 from tessella.sources import files as S
@@ -128,7 +129,7 @@ def detect_workspace(t):
 def embed_hashing(t):
     from tessella.functions.embed import embed
 
-    return t("documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    return spread(t("documents")).select("doc_id", embed(F.col("text")).alias("embedding"))
 
 
 @query("memory_store", "SELECT doc_id AS id, lang FROM documents WHERE doc_id % 3 <> 0 AND lang <> 'en'")

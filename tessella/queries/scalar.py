@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import paths as P
 from tessella.functions import text as T
 from tessella.plans.registry import query
+from tessella.plans.shared import spread
 
 
 def case(key: str, table: dict[str, str], default: str) -> str:
@@ -185,7 +186,7 @@ def query_tokens(t):
 
 @query("lexical_score", "SELECT doc_id, " + " + ".join(f"((length(text) - length(replace(lower(text), '{w}', ''))) // {len(w)})" for w in TOKENS) + "::DOUBLE AS lexical FROM documents")
 def lexical_score(t):
-    return t("documents").select("doc_id", T.lexical_score(F.col("text"), F.array(*map(F.lit, TOKENS))).alias("lexical"))
+    return spread(t("documents")).select("doc_id", T.lexical_score(F.col("text"), F.array(*map(F.lit, TOKENS))).alias("lexical"))
 
 
 @query("occurrence_count", "SELECT doc_id, (length(text) - length(replace(text, 'Th', ''))) // 2 AS n FROM documents")
@@ -290,7 +291,7 @@ def split_csv(t):
   SELECT doc_id, b, i + 1, ((h // 256 * 256 + xor((h % 256)::INT, ('0x' || hex(b[i + 1:i + 1]))::INT)) % 4294967296 * 1099511628211 + ((h // 4294967296) * 1099511628211 % 4294967296) * 4294967296) % 18446744073709551616::HUGEINT FROM h WHERE i < octet_length(b))
  SELECT doc_id, h::VARCHAR AS id FROM h WHERE i = octet_length(b)""")
 def fnv_id(t):
-    return t("documents").select("doc_id", T.fnv1a_64(F.concat_ws(":", "source", "lang", "doc_id")).alias("id"))
+    return spread(t("documents")).select("doc_id", T.fnv1a_64(F.concat_ws(":", "source", "lang", "doc_id")).alias("id"))
 
 
 @query("chunk_json", """SELECT doc_id, '{"Type":"function","Name":"' || source || '","Package":"","Language":"' || lang || '","FilePath":"a\\u003cb","StartLine":' || doc_id || ',"EndLine":' || (doc_id + 2) || '}' AS json FROM documents""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import analyze as A
 from tessella.plans.registry import query
+from tessella.plans.shared import spread
 
 #: Stands for the document's id.
 ID = "§"
@@ -199,7 +200,7 @@ def sql(shapes) -> str:
 def shaped(t, ext: str, shapes):
     n = F.col("doc_id").cast("string")
     source = F.element_at(F.array(*(F.lit(s) for s, _ in shapes)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
-    return t("documents").select(F.concat(F.lit("/w/m"), n, F.lit(ext)).alias("path"), F.replace(source, F.lit(ID), n).alias("content"))
+    return spread(t("documents")).select(F.concat(F.lit("/w/m"), n, F.lit(ext)).alias("path"), F.replace(source, F.lit(ID), n).alias("content"))
 
 
 def symbols(t, ext: str, shapes):

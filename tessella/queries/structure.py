@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import analyze as A
 from tessella.operators import joins as J
 from tessella.plans.registry import query
+from tessella.plans.shared import spread
 
 #: Stands for the document's id among the parts of a source.
 N = object()
@@ -15,7 +16,7 @@ N = object()
 def sources(t, ext: str, *parts):
     """documents as files: the parts, one after the other."""
     columns = [F.lit(p) if isinstance(p, str) else F.col("doc_id") if p is N else p for p in parts]
-    return t("documents").select("doc_id", F.concat(F.lit("/w/m"), "doc_id", F.lit(ext)).alias("path"), F.concat(*columns).alias("content"))
+    return spread(t("documents")).select("doc_id", F.concat(F.lit("/w/m"), "doc_id", F.lit(ext)).alias("path"), F.concat(*columns).alias("content"))
 
 
 def python_files(t):
@@ -200,7 +201,7 @@ def html_sections(t):
 
 @query("html_pages", "SELECT page_id, 1::BIGINT AS sections FROM pages")
 def html_pages(t):
-    pages = t("pages").select(F.concat(F.lit("/w/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    pages = spread(t("pages")).select(F.concat(F.lit("/w/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
     return A.analyze(pages).groupBy(F.regexp_extract("file_path", r"(\d+)", 1).cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("sections"))
 
 
@@ -211,7 +212,7 @@ def html_pages(t):
  SELECT 'f' || doc_id AS file, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_id, done AS content FROM f WHERE done IS NOT NULL""")
 def markdown_chunks(t):
     text = F.replace(F.col("text"), F.lit(". "), F.concat(F.lit(".\n"), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")))
-    return A.markdown_chunks(t("documents").select(F.concat(F.lit("f"), "doc_id").alias("path"), text.alias("content"))).select("file", "chunk_id", "content")
+    return A.markdown_chunks(spread(t("documents")).select(F.concat(F.lit("f"), "doc_id").alias("path"), text.alias("content"))).select("file", "chunk_id", "content")
 
 
 @query("index_chunks", "SELECT u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('class', 'K' || doc_id, 'm' || doc_id), ('method', 'run', 'm' || doc_id), ('property', 'v', 'm' || doc_id), ('function', 'f' || doc_id, 'm' || doc_id), ('const', 'MAX_' || doc_id, 'm' || doc_id), ('var', 'name', 'm' || doc_id)) AS v(type, name, package)) AS u")
@@ -253,8 +254,8 @@ def app_files(t):
     n = F.col("doc_id").cast("string")
     route = F.concat(F.lit("<?php\nuse App\\Http\\Controllers\\A"), n, F.lit("Controller;\nRoute::prefix('api')->group(function () {\n  Route::get('/u', [A"), n, F.lit("Controller::class, 'index']);\n  Route::group(['prefix' => '/v2'], function () {\n    Route::post('x', [A"), n, F.lit("Controller::class, 'none']);\n  });\n});\nRoute::put('/out', [A"), n, F.lit("Controller::class, 'up']);\n"))
     code = F.concat(F.lit("<?php\nnamespace App\\Http\\Controllers;\nclass A"), n, F.lit("Controller extends Controller\n{\n    public function index() { return 1; }\n    public function up() { return 2; }\n}\n"))
-    routes = t("documents").select(F.concat(F.lit("/w/routes/r"), n, F.lit(".php")).alias("path"), route.alias("content"))
-    return routes.union(t("documents").select(F.concat(F.lit("/w/app/a"), n, F.lit(".php")), code))
+    routes = spread(t("documents")).select(F.concat(F.lit("/w/routes/r"), n, F.lit(".php")).alias("path"), route.alias("content"))
+    return routes.union(spread(t("documents")).select(F.concat(F.lit("/w/app/a"), n, F.lit(".php")), code))
 
 
 @query("route_handlers", r"""SELECT u.* FROM documents, LATERAL (SELECT * FROM (VALUES ('GET', '/api/u', 'index', '/w/app/a' || doc_id || '.php', 5), ('POST', '/api/v2/x', 'none', NULL, NULL), ('PUT', '/out', 'up', '/w/app/a' || doc_id || '.php', 6)) AS v(method, uri, action, handler_file, handler_line)) AS u""")
@@ -269,5 +270,5 @@ def route_handlers(t):
 @query("rejected_files", "SELECT '/w/m' || doc_id || '.py' AS path, 'python' AS language, true AS told FROM documents WHERE doc_id % 4 = 0")
 def rejected_files(t):
     n = F.col("doc_id")
-    rows = t("documents").select(F.concat(F.lit("/w/m"), n, F.lit(".py")).alias("path"), F.when(n % 4 == 0, F.concat(F.lit("def f(:\n  x"), n)).otherwise(F.concat(F.lit("x = "), n)).alias("content"))
+    rows = spread(t("documents")).select(F.concat(F.lit("/w/m"), n, F.lit(".py")).alias("path"), F.when(n % 4 == 0, F.concat(F.lit("def f(:\n  x"), n)).otherwise(F.concat(F.lit("x = "), n)).alias("content"))
     return A.rejected(rows).select("path", "language", (F.length("error") > 0).alias("told"))

@@ -1,6 +1,7 @@
 """Files, stores, streams and the parts that need folders."""
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tessella.operators import analyze as A
@@ -151,3 +152,21 @@ def test_embedder_is_that_of_single_words():
         for w in text.lower().split():
             want[crc32(w.encode()) % 8] += 1 if crc32(w.encode()) >> 16 & 1 else -1
         assert np.allclose(row, want / (np.linalg.norm(want) or 1), atol=1e-6)
+
+
+def test_small_tables_are_dealt_and_others_lie_as_they_are(spark):
+    from tessella.plans.shared import spread
+
+    path = f"{SF}/documents.parquet"
+    small = spread(spark.read.parquet(path))
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert small.exceptAll(spark.read.parquet(path)).count() == 0 and small.count() == spark.read.parquet(path).count()
+    plan = small.where("doc_id > 5").select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)]" in plan and "ReadSchema: struct<doc_id:" in plan and "text" not in plan.split("ReadSchema")[1]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        large = spark.read.parquet(path)
+        assert spread(large) is large
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
