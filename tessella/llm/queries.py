@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, media, mixing, ngram_join, pii, quality, secrets, spotsigs, url_filters, warc
+from tessella.plans.shared import spread
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = [3, 1, 2]
@@ -16,7 +17,8 @@ KEY_SETTING, TEST_KEY = "spark.tessella.pii.key", "a key of the deployment"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def key(spark: SparkSession) -> str:
