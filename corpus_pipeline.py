@@ -24,10 +24,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (shingles of five words, Jaccard 0.8) the document with the smallest id.
 
-    Rows that repeat its id stay with it; rows without id are in no group and stay.
+    Rows that repeat its id stay with it; rows without id are in no group and stay. Texts go through no shuffle while the ids of the others can be broadcast.
     """
     groups = ngram_join.ngram_components(docs, k=5, pct=80)
-    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    dropped = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    if dropped.count() <= ngram_join.BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 

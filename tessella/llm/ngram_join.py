@@ -9,6 +9,8 @@ hash space is cut into more than d ranges, so at least one range holds the same
 a range is a hash of its tokens there; sets with a common key are candidates, and connected candidates are a block. A key
 needs a whole range to agree. Tokens that occur in many sets (by a sketch of counters over all documents) are left out of
 keys, which adds no difference, so a passage that many documents share puts none of them together unless the rest agrees.
+A range with a single token makes a key only together with another such range: one shingle that documents share by chance
+would else connect them, and with more documents nearly all would be one block.
 Very small sets use the hashes of the set less up to two tokens instead. Both ways are exact: no link is lost.
 
 Equal sets are one class from the start. Keys are combined before the shuffle (of each map batch, a key goes on with one
@@ -73,23 +75,40 @@ def size_ranges(n: int, pct: int) -> tuple[int, int, int]:
         level, low = level + 1, high + 1
 
 
-def range_keys(tokens: np.ndarray, mixed: np.ndarray, m: int, salt: np.ndarray, empty: int) -> tuple[np.ndarray, bool]:
-    """Keys of the m ranges of the hash space, without those of empty ranges if there are `empty` or fewer; whether there are."""
+def range_keys(tokens: np.ndarray, mixed: np.ndarray, m: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the m ranges of the hash space, number of tokens in each)."""
     part = ((tokens >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
     bounds = np.searchsorted(part, np.arange(m + 1))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
-    key = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.arange(1, m + 1, dtype=np.uint64) + salt))
-    full = bounds[1:] > bounds[:-1]
-    few = bool(m - full.sum() <= empty)
-    return (key[full] if few else key), few
+    return mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ mix(np.arange(1, m + 1, dtype=np.uint64) + salt)), np.diff(bounds)
+
+
+def pair_keys(keys: np.ndarray, ranges: np.ndarray, groups: int) -> np.ndarray:
+    """Keys of the pairs of these ranges whose numbers leave the same remainder by `groups`."""
+    if len(ranges) < 2:
+        return np.zeros(0, np.uint64)
+    group = ranges % groups
+    order = np.argsort(group, kind="stable")
+    group, key = group[order], keys[ranges[order]]
+    first: list[np.ndarray] = []
+    second: list[np.ndarray] = []
+    for k in range(1, len(key)):
+        same = np.flatnonzero(group[k:] == group[:-k])
+        if not len(same):
+            break
+        first.append(same)
+        second.append(same + k)
+    return mix(key[np.concatenate(first)] + mix(key)[np.concatenate(second)]) if first else np.zeros(0, np.uint64)
 
 
 def keys_of(tokens: np.ndarray, pct: int, ranges: dict, hot: np.ndarray | None = None) -> np.ndarray:
     """Keys of a sorted set: two different linked sets have one in common at least.
 
-    Tokens for which hot[top bits] is set don't count at first: leaving tokens out of both sets adds no difference. Of more
-    than d + empty ranges, more than `empty` agree; if these are all empty, both sets have more than `empty` empty ranges, and such
-    sets get the keys of all their tokens too.
+    Tokens for which hot[top bits] is set don't count at first: leaving tokens out of both sets adds no difference. Of
+    d + 1 + empty ranges, 1 + empty agree at least, and 1 + empty - gaps that aren't empty, if one of the sets has `gaps` empty ranges.
+    One of these has several tokens and is a key, or all have a single one: then two of more than `groups` are in the same group,
+    and their pair is a key. Where both sets have too many gaps for that, single tokens are keys too, and
+    where both may agree in empty ranges only, so are the ranges of all their tokens.
     """
     n = len(tokens)
     if n not in ranges:
@@ -111,13 +130,13 @@ def keys_of(tokens: np.ndarray, pct: int, ranges: dict, hot: np.ndarray | None =
                 less.append(whole - mixed[i] - mixed[j])
             out.append(mix(np.concatenate(less) ^ salt))
             continue
-        empty = 4 if most < 64 else 2 + d // 12
-        key, few = range_keys(tokens[cool], mixed[cool], d + 1 + empty, salt, empty)
-        if few:
-            out.append(key)
-        else:
-            part, _ = range_keys(tokens[cool], mixed[cool], d + 1 + empty, salt, d + 1 + empty)
-            out += [part, range_keys(tokens, mixed, d + 1 + empty, mix(salt), empty)[0]]
+        empty, groups = max(4, 2 + d // 6), max(1, d // 12)
+        key, held = range_keys(tokens[cool], mixed[cool], d + 1 + empty, salt)
+        gaps = int((held == 0).sum())
+        out += [key[held > (gaps <= empty - groups)], pair_keys(key, np.flatnonzero(held == 1), groups)]
+        if gaps > empty:
+            key, held = range_keys(tokens, mixed, d + 1 + empty, mix(salt))
+            out.append(key[held > 0] if (held == 0).sum() <= empty else key)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -173,16 +192,22 @@ def describe(batches: Iterator[pa.RecordBatch], sets_of: Sets, bits: int) -> Ite
         none = [None] * len(sets)
         yield rows(batch.column("doc_id"), [len(s) for s in sets], [x for x, _ in both], [y for _, y in both], none, none, none)
     if counts.any():
-        pieces, none, press = counts.reshape(-1, 1 << min(bits, SLICE_BITS)), [None], zstandard.ZstdCompressor(level=1)
+        pieces, none = counts.reshape(-1, 1 << min(bits, SLICE_BITS)), [None]
         for i, x in enumerate(pieces):
-            yield rows(pa.nulls(1, pa.int64()), none, none, none, [TaskContext.get().partitionId()], [i], [press.compress(x.tobytes())])
+            yield rows(pa.nulls(1, pa.int64()), none, none, none, [TaskContext.get().partitionId()], [i], [packed_counters(x)])
+
+
+def packed_counters(counts: np.ndarray) -> bytes:
+    """Counters of 32 bits, compressed byte by byte: most are small, so the upper bytes are almost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def add_counters(parts: pa.ChunkedArray) -> np.ndarray:
     """The sum of the counters of one slice, as 64-bit numbers."""
     total, unpack = 0, zstandard.ZstdDecompressor()
     for x in parts:
-        total = total + np.frombuffer(unpack.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
+        planes = np.frombuffer(unpack.decompress(x.as_buffer()), np.uint8).reshape(4, -1)
+        total = total + np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.uint64)
     return total
 
 
@@ -201,7 +226,7 @@ def hot_tokens(parts: DataFrame, bits: int) -> bytes:
 
     def add(t: pa.Table) -> pa.Table:
         total = np.minimum(add_counters(t.column("counters")), np.uint64((1 << 32) - 1)).astype(np.uint32)
-        return pa.table({"counters": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+        return pa.table({"counters": pa.array([packed_counters(total)], pa.binary())})
 
     def stand_out(key: tuple, t: pa.Table) -> pa.Table:
         total = add_counters(t.column("counters")).astype(float)

@@ -152,7 +152,7 @@ def _sums(rows: DataFrame, make, width: int) -> np.ndarray:
         total = sum((np.frombuffer(x.as_buffer(), float) for x in t.column("part")), np.zeros(width))
         return pa.table({"part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = add_in_tree(rows.select("stats", "label").mapInArrow(partial_sum, "at long, part binary"), add, "part binary")
+    parts = add_in_tree(materialize(rows.select("stats", "label").mapInArrow(partial_sum, "at long, part binary"), "parts"), add, "part binary")
     return sum((np.frombuffer(bytes(r["part"]), float) for r in parts.collect()), np.zeros(width))
 
 

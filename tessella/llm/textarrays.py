@@ -85,9 +85,8 @@ FAN_IN = 16
 def add_in_tree(parts: DataFrame, add: Callable[[pa.Table], pa.Table], schema: str, *by: str) -> DataFrame:
     """FAN_IN sums at most of parts(at, *by, ...) for each value of `by`. at: numbers of tasks; add: from rows of a group to one row of the schema.
 
-    A tree of bounded fan-in: no task reads more than FAN_IN rows, however many tasks there were.
+    A tree of bounded fan-in: no task reads more than FAN_IN rows, however many tasks there were. parts is read twice: a written table.
     """
-    parts = materialize(parts, "parts")
     most = parts.agg(F.max("at").alias("n")).first()["n"] or 0
     while most >= FAN_IN:
         parts = parts.withColumn("at", F.floor(F.col("at") / FAN_IN))

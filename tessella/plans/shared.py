@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether shuffle files are removed when the execution that wrote them ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; in a local session without one, a temporary folder of its own."""
@@ -34,11 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back.
 
     What follows reads the table and so needs neither the lineage nor the shuffle files of df, whichever
-    executors are lost meanwhile. Files stay until the folder is emptied.
+    executors are lost meanwhile. Files stay until the folder is emptied; shuffle files of the write go when it ends, since
+    else all of a job's stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

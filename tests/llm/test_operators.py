@@ -17,7 +17,9 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessella.llm import bpe, graph, media, mixing, ngram_join, pii, quality, queries, secrets, spotsigs, textarrays, url_filters, warc
+from tessella.plans.shared import SHUFFLE_CLEANUP, materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +98,47 @@ def test_keys_of_linked_sets_meet():
                     assert len(np.intersect1d(ngram_join.keys_of(a, pct, {}), ngram_join.keys_of(b, pct, {})))
 
 
+def test_keys_of_linked_sets_meet_with_hot_tokens_left_out():
+    rnd = np.random.default_rng(5)
+    for pct in (80, 85):
+        for n in [*range(2, 60), 200, 900]:
+            for share in (0, 0.05, 0.3, 0.7, 0.95):
+                hot = rnd.random(1 << 14) < share
+                a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+                b = a[int((100 - pct) * n / 100) :]  # as many differences as there may be, in neighbouring ranges
+                if len(a) > len(b):
+                    assert len(np.intersect1d(ngram_join.keys_of(a, pct, {}, hot), ngram_join.keys_of(b, pct, {}, hot)))
+
+
+def test_one_common_shingle_is_no_key():
+    """With it, the documents of a large corpus are one block, whose parts are compared with all parts."""
+    rnd = np.random.default_rng(1)
+    meet = 0
+    for n in [15, 20, 25, 30, 40, 50, 70] * 40:
+        common = rnd.integers(0, 2**64, 1, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((common, rnd.integers(0, 2**64, n - 1, dtype=np.uint64)))) for _ in range(2))
+        meet += len(np.intersect1d(ngram_join.keys_of(a, 80, {}), ngram_join.keys_of(b, 80, {}))) > 0
+    assert meet <= 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: sum(str(f).rpartition("/")[2].startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    table = materialize(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "counted")
+    assert files() <= before and table.count() == 10
+    assert spark.conf.get(SHUFFLE_CLEANUP) != "true"
+
+
+def test_keeping_one_of_each_shuffles_no_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.keep_one_of_each(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_shingles_are_those_of_words():
     rows = ["A b  c\td", "", None, "é É x", "one", " lead and trail ", "a b c d e f"]
     for k in (1, 2, 4):
